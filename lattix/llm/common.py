@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most labelled rows (in expectation) that a classifier is fitted on. The choice hangs on a
 #: hash of doc_id alone, so it is the same however the table is partitioned.
@@ -53,3 +54,30 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -
         held += int(size)
     if start < len(column):
         yield start, column.slice(start)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def attach(docs: DataFrame, make, fields: str, keep: list[str] | None = None, also: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """Columns ``keep`` (default all) of each row and the result columns ``fields`` (DDL), in one narrow stage.
+
+    ``make()`` runs once in each task and returns a function of (texts, also-columns) for one
+    slice, which gives one Arrow array per field. Rows stay where they are: nothing is shuffled
+    and no text leaves its task unless it is kept. A result replaces an input column of its name.
+    """
+    new = T.StructType.fromDDL(fields)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    schema = T.StructType([docs.schema[c] for c in keep] + list(new))
+    source = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], *[quoted(c).alias(f"a{i}") for i, c in enumerate(also)], quoted(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make()
+        for batch in batches:
+            rows = batch.columns[: len(keep)]
+            for at, part in slices(batch.column(batch.num_columns - 1)):
+                more = [batch.column(len(keep) + i).slice(at, len(part)) for i in range(len(also))]
+                yield pa.RecordBatch.from_arrays([c.slice(at, len(part)) for c in rows] + list(kernel(part, *more)), names=schema.names)
+
+    return source.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import simhash
+from lattix.llm import decontam, fingerprint, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,42 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose SimHash fingerprints link at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed one-permutation MinHash of each document and of its edited text."""
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a window of a benchmark item."""
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontam.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLES["op9_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), starts AS (
+  SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, len(w[s:s + 12]) AS size, array_to_string(w[s:s + 12], ' ') AS win FROM starts
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d
+), hits AS (
+  SELECT p.doc_id, p.s, x.size, x.item
+  FROM (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win FROM places, (SELECT DISTINCT size FROM windows) WHERE s + size - 1 <= len(w)) p
+  JOIN windows x ON x.win = p.win AND x.size = p.size
+), words_hit AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS at FROM hits) GROUP BY doc_id
+), items_hit AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
