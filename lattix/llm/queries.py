@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattix.llm import decontam, fingerprint, simhash
+from lattix.llm import decontam, fingerprint, langid, quality, simhash, toxicity
+from lattix.llm.common import held_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose SimHash fingerprints link at 2 or fewer differing bits."""
@@ -33,6 +49,14 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a window of a benchmark item."""
@@ -56,7 +80,7 @@ WITH d AS (
   FROM (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win FROM places, (SELECT DISTINCT size FROM windows) WHERE s + size - 1 <= len(w)) p
   JOIN windows x ON x.win = p.win AND x.size = p.size
 ), words_hit AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS at FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id
 ), items_hit AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
 )

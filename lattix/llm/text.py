@@ -26,6 +26,9 @@ class Powers:
     def __init__(self, base: int):
         self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
 
+    def __reduce__(self):
+        return Powers, (self.base,)  # the arrays are made anew where they are needed
+
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(n, 2 * self.n, 1 << 16)
