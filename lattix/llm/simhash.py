@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import slices
+from lattix.llm.common import attach, slices
 from lattix.operators.components import connected_components
 from lattix.plans.storage import materialize
 
@@ -180,9 +180,9 @@ def _masks3():
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, group: int = GROUP) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row of ``docs``.
+    """``(doc_id, fp, component_id, class_fp)`` for each row of ``docs``.
 
-    component_id is the smallest doc_id reachable through fingerprints that differ in at most
+    class_fp names the class by its smallest fingerprint; component_id is the smallest doc_id reachable through fingerprints that differ in at most
     ``distance`` bits. Texts without words share fingerprint zero and link like any other; a null
     text counts as empty. Rows that repeat a doc_id are one node and come back once each; a null
     doc_id takes part with component null unless its class has an id. An empty table gives no rows.
@@ -192,5 +192,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, group: i
     found = connected_components(links(nodes.select("fp"), distance, group))
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = nodes.join(linked.join(least, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = nodes.join(linked.join(least, "component").select("fp", "component", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("class_fp"))
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "class_fp")
+
+
+def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the document with the smallest id stays.
+
+    Of rows that repeat that id one stays. A class without any id keeps one of its rows. The text
+    moves once, to meet the ids that stay.
+    """
+    found = materialize(near_duplicates(docs, width, distance), "simhash-classes")
+    stay = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    nameless = found.where("component_id is null").select(F.col("fp").alias("__nameless"), F.col("class_fp").alias("__class")).distinct()
+    if not nameless.limit(1).count():
+        return kept
+    lost = docs.where("doc_id is null")
+    marked = attach(lost, lambda: lambda part: [pa.array([_signed(simhash(v.as_buffer().to_pybytes(), width)) for v in part], pa.int64())], "__fp long")
+    return kept.unionByName(marked.join(nameless, F.col("__fp") == F.col("__nameless")).dropDuplicates(["__class"]).select(*docs.columns))
