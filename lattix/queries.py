@@ -1,4 +1,607 @@
-"""Registry of the engine's queries and their DuckDB oracles."""
+"""Registry of the engine's queries and their DuckDB oracles.
 
-QUERIES: dict = {}
+All matrices come from the star-schema tables (:mod:`lattix.datasets`); their values are whole
+numbers, so sums are exact on every engine, and quotients are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattix import datasets as D
+from lattix.operators import algebra, graph, layout, masks, partition, profile, topology
+from lattix.operators.components import connected_components
+from lattix.schema import SparseMatrix
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Shared SQL: ``a`` is the part graph, ``x`` the probe vector, ``own`` four balanced owners of parts.
+PARTS = """
+np AS (SELECT max(p_partkey) + 1 AS n FROM part),
+op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+offd AS (SELECT s.p AS i, t.p AS j, CAST(-count(*) AS DOUBLE) AS v FROM op s JOIN op t ON s.o = t.o AND s.p <> t.p GROUP BY 1, 2),
+node AS (SELECT unnest(range(n)) AS i FROM np),
+a AS (SELECT i, j, v FROM offd UNION ALL SELECT node.i, node.i, 1 + coalesce(s, 0) FROM node LEFT JOIN (SELECT i, -sum(v) AS s FROM offd GROUP BY i) q ON q.i = node.i),
+x AS (SELECT i, CAST(1 + (i * 17 + 11) % 101 AS DOUBLE) AS v FROM node)
+"""
+OWN = """
+own AS (SELECT i, CAST(CASE WHEN i < (n % 4) * (n // 4 + 1) THEN i // (n // 4 + 1) ELSE n % 4 + (i - (n % 4) * (n // 4 + 1)) // (n // 4) END AS INTEGER) AS owner FROM node, np),
+placed AS (SELECT a.*, r.owner AS oi, c.owner AS oj FROM a JOIN own r ON r.i = a.i JOIN own c ON c.i = a.j)
+"""
+WORDS = "CAST(sum(CASE WHEN j % 64 < 32 THEN 1::BIGINT << (j % 64)::INT ELSE 0 END) AS BIGINT) AS lo, CAST(sum(CASE WHEN j % 64 >= 32 THEN 1::BIGINT << (j % 64 - 32)::INT ELSE 0 END) AS BIGINT) AS hi"
+
+
+def query(sql: str | None = None, parts: bool = True):
+    """Register a query; ``sql`` follows the shared tables if ``parts``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {PARTS}{'' if sql.lstrip().upper().startswith('SELECT') else ','} {sql}" if parts else sql
+        return f
+
+    return add
+
+
+def _x(a: SparseMatrix) -> DataFrame:
+    return D.probe(a.spark, a.ncols)
+
+
+def _owners(a: SparseMatrix, ranks: int = 4) -> DataFrame:
+    return a.rows().select("i", partition.owner_balanced(F.col("i"), a.nrows, ranks).alias("owner"))
+
+
+def _halves(t: DataFrame) -> DataFrame:
+    """Words as two unsigned 32-bit halves, since their sign is no value."""
+    return t.select("i", "w", F.col("mask").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"), F.shiftrightunsigned("mask", 32).alias("hi"))
+
+
+def _two(a: SparseMatrix) -> tuple[DataFrame, DataFrame]:
+    return topology.words(a.pattern().where("(i + j) % 2 = 0")), topology.words(a.pattern().where("(i * j) % 3 = 0"))
+
+
+# --- matrices and vectors -------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0", parts=False)
+def mat_canonical(spark, d):
+    return D.order_part(spark, d).canonical().df
+
+
+@query("""SELECT (SELECT n FROM np) AS nrows, (SELECT n FROM np) AS ncols, CAST(sum(c) AS BIGINT) AS nnz, true AS square, bool_and(dn > 0) AS full_diagonal, bool_and(dn > 0 AND dv > 0) AS positive_diagonal,
+  round(avg(c), 6) AS avg_row_nnz, max(c) AS max_row_nnz FROM (SELECT i, count(*) AS c, count(*) FILTER (i = j) AS dn, sum(v) FILTER (i = j) AS dv FROM a GROUP BY i)""")
+def mat_profile(spark, d):
+    return profile.profile(D.part_graph(spark, d)).withColumn("avg_row_nnz", F.round("avg_row_nnz", 6))
+
+
+@query("SELECT i, sum(v) AS v FROM a WHERE i = j GROUP BY i")
+def mat_diagonal(spark, d):
+    return profile.diagonal(D.part_graph(spark, d))
+
+
+@query("SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i")
+def spmv(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.spmv(a, _x(a))
+
+
+@query("""SELECT r.i, coalesce(s.v, 0) AS v FROM (SELECT unnest(range(max(o_orderkey) + 1)) AS i FROM orders) r
+  LEFT JOIN (SELECT l_orderkey AS i, sum(l_quantity * (1 + (l_partkey * 17 + 11) % 101)) AS v FROM lineitem GROUP BY 1) s ON s.i = r.i""", parts=False)
+def spmv_rect(spark, d):
+    a = D.order_part(spark, d)
+    return algebra.spmv(a, _x(a))
+
+
+@query("""SELECT node.i, coalesce(s.v, 0) AS v FROM node LEFT JOIN (SELECT l_partkey AS i, sum(l_quantity * (1 + (l_orderkey * 17 + 11) % 101)) AS v FROM lineitem GROUP BY 1) s ON s.i = node.i""")
+def spmv_transposed(spark, d):
+    a = D.order_part(spark, d)
+    return algebra.spmv_transposed(a, D.probe(spark, a.nrows))
+
+
+@query(ORACLES["spmv"].split("WITH RECURSIVE " + PARTS)[1])
+def spmv_partitioned(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.spmv_partitioned(a, _x(a), 8)
+
+
+@query(ORACLES["spmv"].split("WITH RECURSIVE " + PARTS)[1])
+def spmv_by_owner(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.spmv_by_owner(a, a.rows().select("i", (F.col("i") * 7 % 5).alias("owner")), _x(a))
+
+
+@query("""WITH m AS (SELECT l_partkey AS p, l_suppkey AS s, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2)
+  SELECT l.s AS i, r.s AS j, sum(l.v * r.v) AS v FROM m l JOIN m r ON l.p = r.p GROUP BY 1, 2""", parts=False)
+def spgemm_common_parts(spark, d):
+    a = D.part_supp(spark, d)
+    return algebra.spgemm(algebra.transpose(a), a).df
+
+
+@query("SELECT l_partkey AS i, l_orderkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2", parts=False)
+def transpose(spark, d):
+    return algebra.transpose(D.order_part(spark, d).canonical()).df
+
+
+@query("SELECT (SELECT n FROM np) - 1 - i AS i, (SELECT n FROM np) - 1 - j AS j, v FROM a")
+def permute(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.permute(a, a.rows().select(F.col("i").alias("old"), (F.lit(a.nrows - 1) - F.col("i")).alias("new"))).df
+
+
+@query("SELECT sum(abs(v)) AS l1, round(sqrt(sum(v * v)), 6) AS l2, max(abs(v)) AS linf FROM x")
+def vec_norms(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.norms(_x(a)).withColumn("l2", F.round("l2", 6))
+
+
+@query("SELECT sum(x.v * y.v) AS dot FROM x JOIN (SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i) y ON x.i = y.i")
+def vec_dot(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.dot(_x(a), algebra.spmv(a, _x(a)))
+
+
+@query("SELECT i, 3 * v + 1 AS v FROM x")
+def vec_axpy(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.axpy(3.0, _x(a), D.ones(spark, a.nrows))
+
+
+@query("SELECT a.i, 1000 - sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i")
+def residual(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.residual(a, _x(a), D.ones(spark, a.nrows).withColumn("v", F.lit(1000.0)))
+
+
+@query("""SELECT round(sqrt(sum((1000 - y.v) * (1000 - y.v))) / sqrt(sum(1e6)), 8) AS relative_residual FROM (SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i) y""")
+def relative_residual(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.relative_residual(a, _x(a), D.ones(spark, a.nrows).withColumn("v", F.lit(1000.0))).select(F.round("relative_residual", 8).alias("relative_residual"))
+
+
+@query("SELECT x.i, x.v / a.v AS v FROM x JOIN a ON a.i = x.i AND a.j = x.i")
+def jacobi_apply(spark, d):
+    from lattix.solvers.precond import Jacobi
+
+    a = D.part_graph(spark, d)
+    return Jacobi.from_matrix(a).apply(_x(a))
+
+
+@query("SELECT i // 50 AS i, j // 50 AS j, sum(v) AS v FROM a GROUP BY 1, 2")
+def galerkin_coarse(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.galerkin_piecewise(a, a.rows().withColumn("c", F.floor(F.col("i") / 50)), -(-a.nrows // 50)).df
+
+
+@query("""p AS (SELECT i, i // 50 AS c, CAST(1 + i % 3 AS DOUBLE) AS v FROM node UNION ALL SELECT i, (i // 50 + 1) % ((n + 49) // 50), 1 FROM node, np WHERE i % 5 = 0)
+  SELECT l.c AS i, r.c AS j, sum(l.v * a.v * r.v) AS v FROM a JOIN p l ON l.i = a.i JOIN p r ON r.i = a.j GROUP BY 1, 2""")
+def galerkin_transfer(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.galerkin(a, _transfer(a)).df
+
+
+def _transfer(a: SparseMatrix) -> SparseMatrix:
+    """A sparse transfer with weights 1 to 3 and a second aggregate for each fifth row."""
+    count = -(-a.nrows // 50)
+    own = a.rows().select("i", F.floor(F.col("i") / 50).alias("j"), (1 + F.col("i") % 3).cast("double").alias("v"))
+    more = a.rows().where("i % 5 = 0").select("i", ((F.floor(F.col("i") / 50) + 1) % count).alias("j"), F.lit(1.0).alias("v"))
+    return SparseMatrix(own.union(more), a.nrows, count)
+
+
+@query("""p AS (SELECT i, i // 50 AS c, CAST(1 + i % 3 AS DOUBLE) AS v FROM node UNION ALL SELECT i, (i // 50 + 1) % ((n + 49) // 50), 1 FROM node, np WHERE i % 5 = 0),
+  c AS (SELECT p.c, sum(p.v * x.v) AS v FROM p JOIN x ON x.i = p.i GROUP BY 1) SELECT p.i, sum(p.v * c.v) AS v FROM p JOIN c ON c.c = p.c GROUP BY 1""")
+def restrict_prolong(spark, d):
+    a = D.part_graph(spark, d)
+    return algebra.prolong(_transfer(a), algebra.restrict(_transfer(a), _x(a)))
+
+
+# --- masks and restriction ------------------------------------------------------------------------
+
+
+@query("SELECT i, j, v FROM a WHERE j % 3 = 0")
+def col_restrict(spark, d):
+    a = D.part_graph(spark, d)
+    return masks.restrict_columns(a, a.rows().where("i % 3 = 0")).df
+
+
+@query("SELECT i, j, v FROM a WHERE j % 3 = 0")
+def col_restrict_words(spark, d):
+    a = D.part_graph(spark, d)
+    return masks.restrict_words(a, a.rows().where("i % 3 = 0")).df
+
+
+@query("SELECT i // 7 AS i, j // 7 AS j, v FROM a WHERE i % 7 = 0 AND j % 7 = 0")
+def local_restrict(spark, d):
+    a = D.part_graph(spark, d)
+    return masks.restrict_local(a, a.rows().where("i % 7 = 0"))[0].df
+
+
+@query("SELECT i // 7 AS i, v FROM x WHERE i % 7 = 0")
+def local_gather(spark, d):
+    a = D.part_graph(spark, d)
+    return masks.gather(_x(a), masks.renumber(a.rows().where("i % 7 = 0")))
+
+
+@query("SELECT i // 7 AS i, j // 7 AS j, 2 * v AS v FROM a WHERE i % 7 = 0 AND j % 7 = 0")
+def local_refresh(spark, d):
+    a = D.part_graph(spark, d)
+    plan = masks.local_plan(a, a.rows().where("i % 7 = 0"))
+    return masks.refresh(plan, SparseMatrix(a.df.withColumn("v", F.col("v") * 2), a.nrows, a.ncols))
+
+
+@query("""dg AS (SELECT i, abs(v) AS d FROM a WHERE i = j AND v <> 0),
+  s AS (SELECT a.i, sum(abs(a.v)) / any_value(r.d) AS c, max(greatest(r.d / c.d, c.d / r.d)) AS jump FROM a JOIN dg r ON r.i = a.i LEFT JOIN dg c ON c.i = a.j WHERE a.i <> a.j GROUP BY a.i)
+  SELECT i FROM s WHERE c >= 0.995 OR jump >= 3""")
+def risk_mask(spark, d):
+    return masks.risk_mask(D.part_graph(spark, d), 0.995, 3.0)
+
+
+@query("""y AS (SELECT a.i, 1000 - sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i) SELECT i FROM y WHERE abs(v) >= 0.25 * (SELECT max(abs(v)) FROM y)""")
+def residual_seeds(spark, d):
+    return masks.residual_seeds(residual(spark, d))
+
+
+@query("""SELECT a.i, coalesce(sum(a.v * x.v) FILTER (a.j % 4 = 0), 0) AS v, count(*) AS candidates, count(*) FILTER (a.j % 4 = 0) AS executed, count(*) FILTER (a.j % 4 <> 0) AS skipped FROM a JOIN x ON x.i = a.j GROUP BY a.i""")
+def pruned_dot(spark, d):
+    a = D.part_graph(spark, d)
+    return masks.pruned_dot(a, a.rows().where("i % 4 = 0"), _x(a))
+
+
+@query("SELECT count(*) AS candidates, count(*) FILTER (j % 4 = 0) AS executed, count(*) FILTER (j % 4 <> 0) AS skipped, round(count(*) FILTER (j % 4 <> 0) / count(*), 9) AS pruning_ratio FROM a")
+def pruning_stats(spark, d):
+    return masks.pruning_stats(pruned_dot(spark, d)).withColumn("pruning_ratio", F.round("pruning_ratio", 9))
+
+
+@query("SELECT i FROM node WHERE (i % 2 = 0 OR i % 3 = 0) AND NOT i % 5 = 0 AND i % 7 <> 0")
+def mask_algebra(spark, d):
+    r = D.part_graph(spark, d).rows()
+    both = masks.union(r.where("i % 2 = 0"), r.where("i % 3 = 0"))
+    return masks.intersection(masks.difference(both, r.where("i % 5 = 0")), r.where("i % 7 <> 0"))
+
+
+# --- words and tiles ------------------------------------------------------------------------------
+
+
+@query(f"SELECT i, j // 64 AS w, {WORDS} FROM a GROUP BY 1, 2")
+def bitmap_words(spark, d):
+    return _halves(topology.words(D.part_graph(spark, d).pattern()))
+
+
+@query("SELECT count(*) AS nnz, count(DISTINCT (i, j // 64)) AS words, round(count(*) / (count(DISTINCT (i, j // 64)) * 64), 9) AS fill_ratio, round(count(DISTINCT (i, j // 64)) * 12 / count(*), 9) AS bytes_per_nnz FROM a")
+def bitmap_stats(spark, d):
+    return topology.stats(topology.words(D.part_graph(spark, d).pattern())).withColumns({c: F.round(c, 9) for c in ("fill_ratio", "bytes_per_nnz")})
+
+
+
+
+def _register(name: str, f, where: str):
+    QUERIES[name] = f
+    ORACLES[name] = f"WITH RECURSIVE {PARTS} SELECT i, j // 64 AS w, {WORDS} FROM a WHERE {where} GROUP BY 1, 2"
+
+
+_EVEN, _THIRD = "(i + j) % 2 = 0", "(i * j) % 3 = 0"
+_register("bitmap_and", lambda spark, d: _halves(topology.intersection(*_two(D.part_graph(spark, d)))), f"{_EVEN} AND {_THIRD}")
+_register("bitmap_or", lambda spark, d: _halves(topology.union(*_two(D.part_graph(spark, d)))), f"({_EVEN} OR {_THIRD})")
+_register("bitmap_andnot", lambda spark, d: _halves(topology.and_not(*_two(D.part_graph(spark, d)))), f"{_EVEN} AND NOT {_THIRD}")
+_register("bitmap_xor", lambda spark, d: _halves(topology.xor(*_two(D.part_graph(spark, d)))), f"({_EVEN}) <> ({_THIRD})")
+_register("bitmap_combine", lambda spark, d: _halves(topology.combine(*_two(D.part_graph(spark, d)), lambda p, q: p.bitwiseAND(F.bitwise_not(q)))), f"{_EVEN} AND NOT {_THIRD}")
+
+
+@query("SELECT l_orderkey AS i, l_partkey AS j, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS rank FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)", parts=False)
+def rank_select(spark, d):
+    return topology.rank_select(topology.words(D.order_part(spark, d).pattern()))
+
+
+@query("SELECT l_orderkey AS i, min(l_partkey) AS j FROM lineitem GROUP BY 1", parts=False)
+def first_of_row(spark, d):
+    return topology.first_of_row(topology.words(D.order_part(spark, d).pattern()))
+
+
+@query("SELECT DISTINCT l_partkey AS i, l_orderkey AS j FROM lineitem", parts=False)
+def bitmap_transpose(spark, d):
+    return topology.entries(topology.transpose(topology.words(D.order_part(spark, d).pattern())))
+
+
+@query("SELECT DISTINCT i FROM (SELECT j AS i FROM a WHERE i % 500 = 3 UNION ALL SELECT i FROM node WHERE i % 500 = 3)")
+def expand_mask(spark, d):
+    a = D.part_graph(spark, d)
+    return topology.expand_mask(topology.words(a.pattern()), a.rows().where("i % 500 = 3"))
+
+
+@query("""SELECT s.l_suppkey AS ia, t.l_suppkey AS ib, count(*) AS common FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) s JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) t USING (l_partkey) GROUP BY 1, 2""", parts=False)
+def row_intersections(spark, d):
+    t = topology.words(algebra.transpose(D.part_supp(spark, d)).pattern())
+    return topology.row_intersections(t, t)
+
+
+@query("SELECT i, j // 64 AS w, CAST(count(*) AS INTEGER) AS n, sum(v) AS total, CASE WHEN count(*) <= 8 THEN 'sparse' WHEN count(*) >= 40 THEN 'dense' ELSE 'bitmap' END AS kind FROM a GROUP BY 1, 2")
+def tiles(spark, d):
+    t = topology.tiles(D.part_graph(spark, d))
+    return t.select("i", "w", F.size("vals").alias("n"), F.aggregate("vals", F.lit(0.0), lambda s, v: s + v).alias("total"), topology.tile_kind(F.col("mask")).alias("kind"))
+
+
+@query("SELECT kind, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS nnz FROM (SELECT count(*) AS n, CASE WHEN count(*) <= 8 THEN 'sparse' WHEN count(*) >= 40 THEN 'dense' ELSE 'bitmap' END AS kind FROM a GROUP BY i, j // 64) GROUP BY kind")
+def tile_stats(spark, d):
+    return topology.tile_stats(topology.tiles(D.part_graph(spark, d)))
+
+
+@query("SELECT i, j, v FROM a")
+def untile(spark, d):
+    return topology.untile(topology.tiles(D.part_graph(spark, d)))
+
+
+@query(ORACLES["spmv"].split("WITH RECURSIVE " + PARTS)[1])
+def tiled_spmv(spark, d):
+    a = D.part_graph(spark, d)
+    return topology.tiled_spmv(topology.tiles(a), _x(a))
+
+
+@query(ORACLES["spmv"].split("WITH RECURSIVE " + PARTS)[1])
+def block_spmv(spark, d):
+    a = D.part_graph(spark, d)
+    return topology.block_spmv(topology.dense_blocks(a, 6), _x(a), 6, a.nrows)
+
+
+@query("SELECT count(*) AS blocks, round(sum(n) / (count(*) * 9), 9) AS fill, round(count(*) * 9 / sum(n), 9) AS padding_ratio, round(avg(CASE WHEN n = 9 THEN 1.0::DOUBLE ELSE 0 END), 9) AS full_share FROM (SELECT count(*) AS n FROM a GROUP BY i // 3, j // 3)")
+def block_stats(spark, d):
+    return topology.block_stats(D.part_graph(spark, d), 3).withColumns({c: F.round(c, 9) for c in ("fill", "padding_ratio", "full_share")})
+
+
+# --- diagnostics ----------------------------------------------------------------------------------
+
+
+@query("""SELECT count(*) AS off_diagonal, count(*) FILTER (t.v IS NULL) AS missing_transpose, count(*) FILTER (abs(a.v - t.v) > 1e-12 * greatest(1, abs(a.v), abs(t.v))) AS asymmetric, coalesce(max(abs(a.v - t.v)), 0) AS max_difference
+  FROM (SELECT i, j, CASE WHEN j > i THEN v / 2 ELSE v END AS v FROM a WHERE i <> j AND NOT (i % 10 = 0 AND j > i)) a LEFT JOIN (SELECT i, j, CASE WHEN j > i THEN v / 2 ELSE v END AS v FROM a WHERE i <> j AND NOT (i % 10 = 0 AND j > i)) t ON t.i = a.j AND t.j = a.i""")
+def symmetry_check(spark, d):
+    a = D.convection(spark, d)
+    return profile.symmetry(SparseMatrix(a.df.where("not (i % 10 = 0 and j > i)"), a.nrows, a.ncols))
+
+
+@query("""SELECT count(*) FILTER (NOT d > o) AS rows_not_dominant, CAST(0 AS BIGINT) AS missing_transpose, CAST(0 AS BIGINT) AS asymmetric, count(*) FILTER (NOT d > o) = 0 AS certified FROM (SELECT sum(v) FILTER (i = j) AS d, coalesce(sum(abs(v)) FILTER (i <> j), 0) AS o FROM a GROUP BY i)""")
+def spd_certificate(spark, d):
+    return profile.spd_certificate(D.part_graph(spark, d))
+
+
+@query("""SELECT i, sum(v) FILTER (i = j) AS diag, coalesce(sum(abs(v)) FILTER (i <> j), 0) AS "off", CASE WHEN abs(sum(v) FILTER (i = j)) > coalesce(sum(abs(v)) FILTER (i <> j), 0) THEN 'strict' ELSE 'none' END AS class
+  FROM (SELECT i, j, CASE WHEN i = j AND i % 2 = 0 THEN v / 2 ELSE v END AS v FROM a) GROUP BY i""")
+def dominance(spark, d):
+    a = D.part_graph(spark, d)
+    return profile.dominance(SparseMatrix(a.df.withColumn("v", F.when((F.col("i") == F.col("j")) & (F.col("i") % 2 == 0), F.col("v") / 2).otherwise(F.col("v"))), a.nrows, a.ncols))
+
+
+@query("""SELECT quantile_cont(n, 0.5) AS row_nnz_p50, quantile_cont(n, 0.95) AS row_nnz_p95, CAST(sum(n * n) AS BIGINT) AS ilu_work, round(avg(CASE WHEN d > o THEN 1.0::DOUBLE ELSE 0 END), 9) AS dominant_share, round(sum(neg) / greatest(sum(neg + pos), 1), 9) AS negative_share, round(avg(1 - abs(s) / l1), 9) AS cancellation
+  FROM (SELECT count(*) AS n, sum(CASE WHEN i = j THEN abs(v) ELSE 0 END) AS d, sum(CASE WHEN i <> j THEN abs(v) ELSE 0 END) AS o, sum(v) AS s, sum(abs(v)) AS l1, count(*) FILTER (i <> j AND v < 0) AS neg, count(*) FILTER (i <> j AND v > 0) AS pos FROM a GROUP BY i)""")
+def matrix_signals(spark, d):
+    return profile.signals(D.part_graph(spark, d)).withColumns({c: F.round(c, 9) for c in ("dominant_share", "negative_share", "cancellation")})
+
+
+@query("SELECT max(abs(i - j)) AS bandwidth FROM a")
+def bandwidth(spark, d):
+    return profile.bandwidth(D.part_graph(spark, d))
+
+
+@query("""b AS (SELECT i // 40 AS bi, j // 40 AS bj, sqrt(sum(v * v)) AS norm FROM a GROUP BY 1, 2)
+  SELECT b.bi, b.bj, round(b.norm, 8) AS norm, round(b.norm / sqrt(r.norm * c.norm), 8) AS strength FROM b JOIN b r ON r.bi = b.bi AND r.bj = b.bi JOIN b c ON c.bi = b.bj AND c.bj = b.bj""")
+def block_strength(spark, d):
+    return profile.block_strength(D.part_graph(spark, d), 40).withColumns({"norm": F.round("norm", 8), "strength": F.round("strength", 8)})
+
+
+@query("""c AS (SELECT p_partkey AS i, p_partkey // 25 AS g, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 97 AS DOUBLE) AS y, CAST(p_partkey % 53 AS DOUBLE) AS z FROM part),
+  m AS (SELECT g, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM c GROUP BY g)
+  SELECT c.g AS agg, count(*) AS nodes, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(any_value(cz), 6) AS cz, round(sqrt(avg((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))), 6) AS radius FROM c JOIN m USING (g) GROUP BY c.g""")
+def centroids(spark, d):
+    from lattix.solvers.coarse import centroids as f
+
+    c = D.coordinates(spark, d)
+    return f(c, c.select("node", F.floor(F.col("node") / 25).alias("agg"))).withColumns({k: F.round(k, 6) for k in ("cx", "cy", "cz", "radius")})
+
+
+# --- layouts --------------------------------------------------------------------------------------
+
+_LAYOUT = 'lay AS (SELECT l_orderkey AS block_index, count(*) AS components, CAST(l_orderkey % 3 AS INTEGER) AS field_id FROM lineitem GROUP BY 1), b AS (SELECT *, CAST(sum(components) OVER (ORDER BY block_index) - components AS BIGINT) AS "start", CAST(sum(components) OVER (ORDER BY block_index) AS BIGINT) AS "end" FROM lay)'
+
+
+@query(f"WITH {_LAYOUT} SELECT * FROM b", parts=False)
+def block_offsets(spark, d):
+    return layout.offsets(D.order_layout(spark, d))
+
+
+@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b), 97)) AS i) SELECT i, block_index, i - "start" AS component FROM asked JOIN b ON "start" <= i AND i < "end"', parts=False)
+def locate_dof(spark, d):
+    b = layout.offsets(D.order_layout(spark, d))
+    return layout.locate(b, spark.range(0, b.agg(F.max("end")).first()[0], 97).select(F.col("id").alias("i")))
+
+
+@query(f'WITH {_LAYOUT} SELECT unnest(range("start", "end")) AS i FROM b WHERE field_id = 1', parts=False)
+def field_mask(spark, d):
+    return layout.field_mask(layout.offsets(D.order_layout(spark, d)), 1)
+
+
+@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b), 97)) AS i) SELECT DISTINCT unnest(range("start", "end")) AS i FROM b WHERE EXISTS (SELECT 1 FROM asked WHERE "start" <= i AND i < "end")', parts=False)
+def field_closure(spark, d):
+    b = layout.offsets(D.order_layout(spark, d))
+    return layout.close_to_blocks(b, spark.range(0, b.agg(F.max("end")).first()[0], 97).select(F.col("id").alias("i")))
+
+
+@query(f'WITH {_LAYOUT} SELECT block_index, CAST(2 AS BIGINT) AS owners FROM b WHERE "start" // 1000 <> ("end" - 1) // 1000', parts=False)
+def split_blocks(spark, d):
+    b = layout.offsets(D.order_layout(spark, d))
+    return layout.split_blocks(b, spark.range(b.agg(F.max("end")).first()[0]).select(F.col("id").alias("i"), F.floor(F.col("id") / 1000).alias("owner")))
+
+
+@query(f"""WITH {_LAYOUT}, t AS (SELECT r AS rank, CAST(round_even((SELECT max("end") FROM b) * r / 5, 0) AS BIGINT) AS target FROM range(1, 5) q(r)), e AS (SELECT "start" AS cut FROM b UNION SELECT "end" FROM b),
+  n AS (SELECT rank, target, max(cut) FILTER (cut <= target) AS lo, min(cut) FILTER (cut > target) AS hi FROM t, e GROUP BY 1, 2)
+  SELECT CAST(rank AS INTEGER) AS rank, target, CASE WHEN hi IS NULL OR target - lo <= hi - target THEN lo ELSE hi END AS cut FROM n""", parts=False)
+def field_aligned_partition(spark, d):
+    b = layout.offsets(D.order_layout(spark, d))
+    return partition.field_aligned(b, b.agg(F.max("end")).first()[0], 5)
+
+
+# --- graphs ---------------------------------------------------------------------------------------
+
+
+@query("""h1 AS (SELECT DISTINCT j AS i FROM a WHERE i = 5 AND j <> 5), h2 AS (SELECT DISTINCT j AS i FROM a WHERE i IN (SELECT i FROM h1) AND j <> 5 AND j NOT IN (SELECT i FROM h1))
+  SELECT CAST(0 AS BIGINT) AS region, CAST(5 AS BIGINT) AS i, 0 AS level UNION ALL SELECT 0, i, 1 FROM h1 UNION ALL SELECT 0, i, 2 FROM h2""")
+def k_hop_region(spark, d):
+    a = D.part_graph(spark, d)
+    return graph.grow(graph.edges(a), a.rows().where("i = 5"), 2)
+
+
+@query("""SELECT count(*) AS covered, CAST(sum(m * (m - 1) // 2) AS BIGINT) AS overlap_pairs, max(m) AS max_multiplicity, round(avg(CASE WHEN m > 1 THEN 1.0::DOUBLE ELSE 0 END), 9) AS overlap_fraction FROM (SELECT count(DISTINCT l_suppkey) AS m FROM lineitem GROUP BY l_partkey)""", parts=False)
+def region_multiplicity(spark, d):
+    return graph.multiplicity_stats(D.supplier_regions(spark, d)).withColumn("overlap_fraction", F.round("overlap_fraction", 9))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, 1000000000 + l_orderkey AS t FROM lineitem WHERE l_orderkey % 60 = 0), both_ways AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
+  r AS (SELECT DISTINCT s AS node, s AS c FROM both_ways UNION SELECT b.t, r.c FROM r JOIN both_ways b ON b.s = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""", parts=False)
+def components(spark, d):
+    lines = D.table(spark, d, "lineitem").where("l_orderkey % 60 = 0")
+    return connected_components(lines.select(F.col("l_partkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_orderkey")).alias("dst")))
+
+
+@query("""e AS (SELECT i, j FROM a WHERE i <> j) SELECT i AS a, j AS b, (SELECT count(*) FROM e s JOIN e t ON s.j = t.j WHERE s.i = q.i AND t.i = q.j) AS common FROM e q WHERE i < j AND i < 12""")
+def common_neighbours(spark, d):
+    return graph.affinity(graph.edges(D.part_graph(spark, d))).where("a < 12")
+
+
+@query(ORACLES["common_neighbours"].split("WITH RECURSIVE " + PARTS + ",")[1])
+def common_neighbours_words(spark, d):
+    return graph.affinity_bitmaps(graph.edges(D.part_graph(spark, d))).where("a < 12")
+
+
+@query("SELECT i, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, i) - 1 AS visit FROM a WHERE i <> j GROUP BY i")
+def coarsening_order(spark, d):
+    return graph.coarsening_order(graph.edges(D.part_graph(spark, d)))
+
+
+@query("SELECT i, count(*) AS degree FROM a WHERE i <> j GROUP BY i ORDER BY degree DESC, i LIMIT 1")
+def seed_node(spark, d):
+    return graph.seed_node(graph.edges(D.part_graph(spark, d)))
+
+
+@query("""y AS (SELECT a.i, 1000 - sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i)
+  SELECT l_suppkey AS region, max(abs(v)) AS peak, min(l_partkey) AS "first" FROM lineitem JOIN y ON y.i = l_partkey GROUP BY 1 ORDER BY peak DESC, "first", region LIMIT 8""")
+def top_regions(spark, d):
+    return graph.top_regions(D.supplier_regions(spark, d), residual(spark, d), 8)
+
+
+@query("""y AS (SELECT a.i, 1000 - sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i), g AS (SELECT DISTINCT l_suppkey AS region, l_partkey AS i FROM lineitem)
+  SELECT region, i FROM (SELECT region, g.i, row_number() OVER (PARTITION BY region ORDER BY CASE WHEN g.i % 11 = 0 THEN 1 ELSE 0 END DESC, CASE WHEN g.i % 11 = 0 THEN 0 ELSE abs(v) END DESC, g.i) AS n FROM g JOIN y ON y.i = g.i) WHERE n <= 40""")
+def cap_regions(spark, d):
+    grown = D.supplier_regions(spark, d)
+    return graph.cap_regions(grown.where("i % 11 = 0"), grown, residual(spark, d), 40)
+
+
+@query("""SELECT min(region) AS region, array_to_string(members, ',') AS members FROM (SELECT l_orderkey AS region, list_sort(list(DISTINCT l_suppkey)) AS members FROM lineitem GROUP BY 1) GROUP BY members""", parts=False)
+def merge_unique_regions(spark, d):
+    regions = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("region"), F.col("l_suppkey").alias("i"))
+    return graph.merge_unique(regions).select("region", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("""WITH RECURSIVE dep AS (SELECT DISTINCT s.l_suppkey AS i, t.l_suppkey AS j FROM lineitem s JOIN lineitem t USING (l_orderkey) WHERE t.l_suppkey < s.l_suppkey AND l_orderkey % 400 = 0),
+  n AS (SELECT unnest(range(max(s_suppkey) + 1)) AS i FROM supplier), r AS (SELECT i, 0 AS level FROM n UNION SELECT dep.i, r.level + 1 FROM r JOIN dep ON dep.j = r.i) SELECT i, max(level) AS level FROM r GROUP BY i""", parts=False)
+def dependency_levels(spark, d):
+    lines = D.table(spark, d, "lineitem").where("l_orderkey % 400 = 0").select("l_orderkey", "l_suppkey")
+    dep = lines.select("l_orderkey", F.col("l_suppkey").alias("i")).join(lines.select("l_orderkey", F.col("l_suppkey").alias("j")), "l_orderkey").where("j < i").select("i", "j").distinct()
+    n = D.table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    return graph.levels(dep, spark.range(n).select(F.col("id").alias("i")))
+
+
+# --- partitions -----------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(r AS INTEGER) AS rank, r * (n // 7) + least(r, n % 7) AS lo, (r + 1) * (n // 7) + least(r + 1, n % 7) AS hi FROM np, range(7) q(r)")
+def balanced_partition(spark, d):
+    return partition.ranges(spark, partition.balanced(D.part_graph(spark, d).nrows, 7))
+
+
+@query(f"{OWN} SELECT DISTINCT oi AS rank, oj AS peer, j AS dof FROM placed WHERE oi <> oj")
+def halo_plan(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.halo(a, _owners(a))
+
+
+@query(f"{OWN} SELECT DISTINCT oi AS rank, oj AS peer, j AS dof FROM placed WHERE oi <> oj")
+def halo_plan_words(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.halo_from_words(topology.words(a.pattern()), _owners(a))
+
+
+@query(f"""{OWN}, h AS (SELECT oi, count(DISTINCT j) AS g, count(DISTINCT oj) AS p FROM placed WHERE oi <> oj GROUP BY oi), e AS (SELECT oi, count(*) AS z, count(*) FILTER (oi <> oj) AS c FROM placed GROUP BY oi), r AS (SELECT owner, count(*) AS m FROM own GROUP BY owner)
+  SELECT CAST(sum(c) AS BIGINT) AS cut_nnz, CAST(sum(g) AS BIGINT) AS ghosts, max(g) AS max_ghosts, max(p) AS max_peers, min(m) AS min_rows, max(m) AS max_rows, min(z) AS min_nnz, max(z) AS max_nnz, round(max(m) / avg(m), 9) AS row_imbalance, round(max(z) / avg(z), 9) AS nnz_imbalance
+  FROM r JOIN e ON e.oi = r.owner JOIN h ON h.oi = r.owner""")
+def partition_telemetry(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.telemetry(a, _owners(a)).withColumns({c: F.round(c, 9) for c in ("row_imbalance", "nnz_imbalance")})
+
+
+@query(f"""{OWN}, g AS (SELECT DISTINCT i FROM placed WHERE oi <> oj UNION SELECT DISTINCT j FROM placed WHERE oi <> oj)
+  SELECT oi AS owner, count(*) FILTER (i NOT IN (FROM g) AND j NOT IN (FROM g)) AS ii, count(*) FILTER (i NOT IN (FROM g) AND j IN (FROM g)) AS ig, count(*) FILTER (i IN (FROM g) AND j NOT IN (FROM g)) AS gi, count(*) FILTER (i IN (FROM g) AND j IN (FROM g)) AS gg FROM placed GROUP BY oi""")
+def interface_blocks(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.interface_blocks(a, _owners(a))
+
+
+@query("""e AS (SELECT i, j FROM a WHERE i < j), ev AS (SELECT i + 1 AS pos, 1 AS d FROM e UNION ALL SELECT j + 1, -1 FROM e), s AS (SELECT pos, sum(d) AS d FROM ev GROUP BY pos) SELECT pos, CAST(sum(d) OVER (ORDER BY pos) AS BIGINT) AS pressure FROM s""")
+def boundary_pressure(spark, d):
+    return partition.boundary_pressure(D.part_graph(spark, d))
+
+
+@query(f"""{OWN}, c AS (SELECT owner, count(*) AS n FROM own GROUP BY owner) SELECT oi AS i, oj AS j, round(s / sqrt(r.n * q.n), 8) AS v FROM (SELECT oi, oj, sum(v) AS s FROM placed GROUP BY 1, 2) JOIN c r ON r.owner = oi JOIN c q ON q.owner = oj""")
+def rank_constant_coarse(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.rank_coarse(a, _owners(a)).withColumn("v", F.round("v", 8))
+
+
+@query(ORACLES["spmv"].split("WITH RECURSIVE " + PARTS)[1])
+def distributed_spmv(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.distributed_spmv(a, _owners(a), _x(a))
+
+
+@query(f"""{OWN}, h AS (SELECT DISTINCT oi AS rank, oj AS peer, j AS dof FROM placed WHERE oi <> oj), u AS (SELECT owner AS rank, 0 AS ghost, -1 AS peer, i AS dof FROM own UNION ALL SELECT rank, 1, peer, dof FROM h)
+  SELECT rank, dof, row_number() OVER (PARTITION BY rank ORDER BY ghost, peer, dof) - 1 AS local, ghost = 1 AS ghost FROM u""")
+def local_numbers(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.local_numbers(_owners(a), partition.halo(a, _owners(a)))
+
+
+@query(f"{OWN} SELECT DISTINCT oi AS rank, j AS dof, x.v FROM placed JOIN x ON x.i = j WHERE oi <> oj")
+def halo_exchange(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.exchange(_x(a), partition.halo(a, _owners(a)))
+
+
+@query(f"{OWN} SELECT DISTINCT oi AS rank, j, oj AS owner FROM placed WHERE oi <> oj")
+def owner_directory(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.owner_directory(a, _owners(a))
+
+
+@query(f"{OWN} SELECT owner, count(DISTINCT own.i) AS rows, count(a.i) AS nnz FROM own LEFT JOIN a ON a.i = own.i GROUP BY owner")
+def scatter_preflight(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.preflight(a, _owners(a))
+
+
+@query(f"{OWN} SELECT owner, min(i) AS lo, max(i) + 1 AS hi, true AS contiguous FROM own GROUP BY owner")
+def owners_as_ranges(spark, d):
+    return partition.as_ranges(_owners(D.part_graph(spark, d)))
+
+
+@query("""y AS (SELECT a.i, 1000 - sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i), e AS (SELECT i // 32 AS block, sum(v * v) AS energy FROM y GROUP BY 1)
+  SELECT i // 32 AS block, sum(CASE WHEN i // 32 = j // 32 THEN abs(v) ELSE 0 END) AS internal, sum(CASE WHEN i // 32 <> j // 32 THEN abs(v) ELSE 0 END) AS boundary, any_value(energy) AS energy FROM a JOIN e ON e.block = i // 32 GROUP BY 1""")
+def block_coupling(spark, d):
+    return partition.block_coupling(D.part_graph(spark, d), residual(spark, d), 32)
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_suppkey AS block, CAST(count(*) AS BIGINT) AS size, CAST(sum(l_quantity) AS BIGINT) % 1009 AS score FROM lineitem GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, block) AS n FROM s),
+  b AS (SELECT CAST(sum(size) // 3 AS BIGINT) AS most FROM s),
+  r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS block, false AS taken UNION ALL SELECT o.n, CASE WHEN r.used + o.size <= most THEN r.used + o.size ELSE r.used END, o.block, r.used + o.size <= most FROM r JOIN o ON o.n = r.n + 1, b)
+  SELECT s.block, s.size, s.score, r.taken FROM r JOIN s ON s.block = r.block""", parts=False)
+def budget_blocks(spark, d):
+    s = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block")).agg(F.count("*").alias("size"), (F.sum("l_quantity").cast("long") % 1009).alias("score"))
+    return partition.budget_blocks(s, s.agg(F.sum("size")).first()[0] // 3)
