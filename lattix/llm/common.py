@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: hash of doc_id alone, so it is the same however the table is partitioned.
 FIT_ROWS = 20_000
 #: Bytes of text and rows that a Python kernel works on at a time, whatever Spark's batches hold.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 
 def held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ WIDTH = 13
 #: Characters of item texts indexed at a time. More items than that are joined block after block,
 #: so the index sent to tasks is bounded however large the benchmark is.
 BLOCK_CHARS = 8 << 20
-_EXPAND = 1 << 21
+_EXPAND = 1 << 19
 
 
 class Windows:
