@@ -605,3 +605,339 @@ def block_coupling(spark, d):
 def budget_blocks(spark, d):
     s = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block")).agg(F.count("*").alias("size"), (F.sum("l_quantity").cast("long") % 1009).alias("score"))
     return partition.budget_blocks(s, s.agg(F.sum("size")).first()[0] // 3)
+
+
+# --- sources --------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2", parts=False)
+def matrix_market_round_trip(spark, d):
+    a = D.order_part(spark, d)
+    return _round_trip(spark, SparseMatrix(a.df.where("i % 10 = 0"), a.nrows, a.ncols))[0].df
+
+
+def _round_trip(spark: SparkSession, a: SparseMatrix):
+    import uuid
+
+    from lattix.plans.storage import shared_dir
+    from lattix.sources import read_matrix_market, write_matrix_market
+
+    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
+    write_matrix_market(a, path)
+    return read_matrix_market(spark, path)
+
+
+@query("""SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS nrows, (SELECT max(p_partkey) + 1 FROM part) AS ncols, false AS symmetric, count(*) AS input_entries, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicates_combined, CAST(0 AS BIGINT) AS zeros_removed FROM lineitem WHERE l_orderkey % 10 = 0""", parts=False)
+def matrix_market_info(spark, d):
+    from lattix.sources.matrix_market import info_df
+
+    a = D.order_part(spark, d)
+    return info_df(spark, _round_trip(spark, SparseMatrix(a.df.where("i % 10 = 0"), a.nrows, a.ncols))[1])
+
+
+@query("SELECT i, v FROM x")
+def vector_file_round_trip(spark, d):
+    import uuid
+
+    from lattix.plans.storage import shared_dir
+    from lattix.sources import read_vector
+
+    a = D.part_graph(spark, d)
+    path = f"{shared_dir(spark)}/vec-{uuid.uuid4().hex}"
+    _x(a).repartitionByRange("i").sortWithinPartitions("i").select(F.col("v").cast("string").alias("value")).write.text(path)
+    return read_vector(spark, path, a.ncols)
+
+
+@query("""WITH g AS (SELECT x + 9 * y + 63 * z AS i, x, y, z FROM range(9) a(x), range(7) b(y), range(5) c(z)), e AS (SELECT p.i, q.i AS j FROM g p JOIN g q ON abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) = 1)
+  SELECT i, j, CAST(-1 AS DOUBLE) AS v FROM e UNION ALL SELECT i, i, CAST(count(*) + 1 AS DOUBLE) FROM e GROUP BY i""", parts=False)
+def grid7(spark, d):
+    from lattix.sources import grid7 as f
+
+    return f(spark, 9, 7, 5).df
+
+
+@query("""dg AS (SELECT i, count(*) AS d FROM a WHERE i <> j GROUP BY i), w AS (SELECT a.i, a.j, -1 / sqrt((r.d + 1) * (c.d + 1)) AS v FROM a JOIN dg r ON r.i = a.i JOIN dg c ON c.i = a.j WHERE a.i <> a.j)
+  SELECT i, j, round(v, 9) AS v FROM w UNION ALL SELECT node.i, node.i, round(coalesce(s, 0) + 1, 9) FROM node LEFT JOIN (SELECT i, -sum(v) AS s FROM w GROUP BY i) q ON q.i = node.i""")
+def spd_surrogate(spark, d):
+    from lattix.sources import spd_surrogate as f
+
+    return f(D.part_graph(spark, d)).df.withColumn("v", F.round("v", 9))
+
+
+# --- coarse spaces --------------------------------------------------------------------------------
+
+
+@query("""p AS (SELECT i, i // 50 AS c FROM node), dg AS (SELECT i, v AS d FROM a WHERE i = j),
+  s AS (SELECT a.i, p.c AS j, -(4 / (3 * 1.5)) * sum(a.v) / any_value(dg.d) AS v FROM a JOIN p ON p.i = a.j JOIN dg ON dg.i = a.i GROUP BY a.i, p.c),
+  u AS (SELECT i, c AS j, CAST(1 AS DOUBLE) AS v FROM p UNION ALL SELECT * FROM s) SELECT i, j, round(sum(v), 8) AS v FROM u GROUP BY i, j HAVING round(sum(v), 8) <> 0""")
+def smoothed_transfer(spark, d):
+    from lattix.solvers import coarse
+
+    a = D.part_graph(spark, d)
+    aggregates, count = coarse.contiguous_aggregates(a, 1, 50)
+    return coarse.smoothed_transfer(a, coarse.piecewise_transfer(a, 1, aggregates, count), 1.5).df.withColumn("v", F.round("v", 8)).where("v <> 0")
+
+
+@query("""c AS (SELECT p_partkey AS node, p_partkey // 25 AS g, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 97 AS DOUBLE) AS y, CAST(p_partkey % 53 AS DOUBLE) AS z FROM part),
+  m AS (SELECT g, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM c GROUP BY g), r AS (SELECT c.g, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, sqrt(avg((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))) AS r FROM c JOIN m USING (g) GROUP BY c.g),
+  o AS (SELECT node, g, (x - cx) / r AS x, (y - cy) / r AS y, (z - cz) / r AS z FROM c JOIN r USING (g)),
+  e AS (SELECT 3 * node AS i, 6 * g AS j, 1.0 AS v FROM o UNION ALL SELECT 3 * node, 6 * g + 4, z FROM o UNION ALL SELECT 3 * node, 6 * g + 5, -y FROM o UNION ALL SELECT 3 * node + 1, 6 * g + 1, 1 FROM o UNION ALL SELECT 3 * node + 1, 6 * g + 3, -z FROM o
+    UNION ALL SELECT 3 * node + 1, 6 * g + 5, x FROM o UNION ALL SELECT 3 * node + 2, 6 * g + 2, 1 FROM o UNION ALL SELECT 3 * node + 2, 6 * g + 3, y FROM o UNION ALL SELECT 3 * node + 2, 6 * g + 4, -x FROM o)
+  SELECT i, j, round(v, 6) + 0.0 AS v FROM e""")
+def rigid_body_transfer(spark, d):
+    from lattix.solvers import coarse
+
+    c = D.coordinates(spark, d)
+    a = D.part_graph(spark, d)
+    aggregates, count = coarse.contiguous_aggregates(a, 1, 25)
+    return coarse.rigid_transfer(SparseMatrix(a.df, 3 * a.nrows, 3 * a.ncols), c, aggregates, count).df.withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@query("SELECT n AS nodes, true AS several FROM np")
+def graph_aggregates(spark, d):
+    """Coverage of capped aggregates: every part is in exactly one of several."""
+    from lattix.solvers import coarse
+
+    a = D.part_graph(spark, d)
+    aggregates, _ = coarse.graph_aggregates(a, 1, max(8, a.nrows // 8))
+    return aggregates.groupBy("agg").agg(F.count("*").alias("n")).agg(F.sum("n").alias("nodes"), (F.count("*") > 1).alias("several"))
+
+
+# --- solvers: b = A x for the known probe x, so the solution has an oracle ----------------------------
+
+_SOLUTION = "SELECT i, v FROM x"
+
+
+def _solve(spark, d, make, tolerance: float = 1e-10, matrix=D.part_graph) -> DataFrame:
+    from lattix.solvers.backend import LocalMatrix, to_array, to_vector
+    from lattix.solvers.krylov import pcg
+    from lattix.solvers.options import SolverOptions
+
+    a = matrix(spark, d)
+    local = LocalMatrix.collect(a)
+    b = local(to_array(_x(a), a.ncols))
+    x, _ = pcg(local, b, make(local.to_df(spark)), options=SolverOptions(tolerance))
+    return to_vector(spark, x).withColumn("v", F.round("v", 3))
+
+
+def _system(spark, d, matrix=D.part_graph, **options) -> tuple[DataFrame, object]:
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.system import Solver
+
+    a = matrix(spark, d)
+    x, report = Solver(SolverOptions(1e-10), **options).solve(a, algebra.spmv(a, _x(a)))
+    return x.withColumn("v", F.round("v", 3)), report
+
+
+@query(_SOLUTION)
+def pcg_jacobi(spark, d):
+    from lattix.solvers.precond import Jacobi
+
+    return _solve(spark, d, Jacobi.from_matrix)
+
+
+@query(_SOLUTION)
+def pcg_block_jacobi(spark, d):
+    from lattix.solvers.precond import block_jacobi
+
+    return _solve(spark, d, lambda a: block_jacobi(a, 8))
+
+
+@query(_SOLUTION)
+def pcg_two_level(spark, d):
+    from lattix.solvers.precond import two_level
+
+    return _solve(spark, d, lambda a: two_level(a, 1, 64, "graph"))
+
+
+@query(_SOLUTION)
+def pcg_schwarz(spark, d):
+    from lattix.solvers.precond import schwarz
+
+    return _solve(spark, d, lambda a: schwarz(a, a.spark.range(min(200, a.nrows)).select(F.floor(F.col("id") / 20).alias("region"), F.explode(F.sequence("id", F.least(F.col("id") + 3, F.lit(a.nrows - 1)))).alias("i"))))
+
+
+@query(_SOLUTION)
+def pcg_rank_constant(spark, d):
+    from lattix.solvers.precond import rank_constant
+
+    return _solve(spark, d, lambda a: rank_constant(a, _owners(a)))
+
+
+@query(_SOLUTION)
+def pcg_tables(spark, d):
+    from lattix.solvers.options import Execution
+
+    return _system(spark, d, execution=Execution.DATAFRAME)[0]
+
+
+@query(_SOLUTION)
+def pcg_blocks(spark, d):
+    from lattix.solvers.options import Execution
+
+    return _system(spark, d, execution=Execution.BLOCKS)[0]
+
+
+@query(_SOLUTION)
+def adaptive_solve(spark, d):
+    return _system(spark, d)[0]
+
+
+@query(_SOLUTION)
+def fgmres_jacobi(spark, d):
+    from lattix.solvers.options import ProblemClass
+
+    return _system(spark, d, D.convection, problem=ProblemClass.GENERAL_SQUARE)[0]
+
+
+@query(_SOLUTION)
+def fgmres_budget_aware(spark, d):
+    from lattix.solvers.options import GeneralOptions, ProblemClass, Restart
+
+    return _system(spark, d, D.convection, problem=ProblemClass.GENERAL_SQUARE, general=GeneralOptions(restart=4, policy=Restart.BUDGET_AWARE))[0]
+
+
+@query("SELECT i, v FROM x WHERE i < (SELECT max(s_suppkey) + 1 FROM supplier)")
+def fgmres_ilu0(spark, d):
+    from lattix.solvers.options import GeneralOptions, GeneralPreconditioner, ProblemClass
+
+    return _system(spark, d, D.supp_graph, problem=ProblemClass.GENERAL_SQUARE, general=GeneralOptions(preconditioner=GeneralPreconditioner.ILU0))[0]
+
+
+@query("SELECT i, v FROM x WHERE i < (SELECT max(s_suppkey) + 1 FROM supplier)")
+def pcg_ic0(spark, d):
+    from lattix.solvers.precond import ic0_blocks
+
+    return _solve(spark, d, lambda a: ic0_blocks(a, _owners(a)), matrix=D.supp_graph)
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(i % 7 AS DOUBLE) AS v FROM range(216) q(i)", parts=False)
+def schur_solve(spark, d):
+    import numpy as np
+
+    from lattix.solvers.backend import LocalMatrix, to_vector
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.partitioners import multisource
+    from lattix.solvers.schur import Schur
+    from lattix.sources import grid7 as grid
+
+    a = LocalMatrix.collect(grid(spark, 6, 6, 6))
+    x, _ = Schur(a, multisource(a.neighbours(), 4)).solve(a(np.arange(216.0) % 7), SolverOptions(1e-11))
+    return to_vector(spark, x).withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
+@query("SELECT i, v FROM x")
+def prepared_solve_many(spark, d):
+    """Three right-hand sides with one prepared system; the solutions add up to six times the probe."""
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.system import Solver
+
+    a = D.part_graph(spark, d)
+    system = Solver(SolverOptions(1e-11)).prepare(a)
+    b = algebra.spmv(a, _x(a))
+    parts = [system.solve(b.select("i", (F.col("v") * k).alias("v")))[0] for k in (1, 2, 3)]
+    total = parts[0].union(parts[1]).union(parts[2]).groupBy("i").agg(F.sum("v").alias("v"))
+    return total.select("i", F.round(F.col("v") / 6, 3).alias("v"))
+
+
+@query()
+def solve_report(spark, d):
+    return _system(spark, d)[1].to_df(spark)
+
+
+@query("""d AS (SELECT i, v AS d FROM a WHERE i = j), b AS (SELECT a.i, sum(a.v * x.v) AS v FROM a JOIN x ON a.j = x.i GROUP BY a.i),
+  s0 AS (SELECT b.i, CAST(0 AS DOUBLE) AS x, b.v AS r, b.v / d.d AS p FROM b JOIN d USING (i)), g0 AS (SELECT sum(r * r / d.d) AS rz FROM s0 JOIN d USING (i)),
+  a0 AS (SELECT a.i, sum(a.v * s0.p) AS ap FROM a JOIN s0 ON s0.i = a.j GROUP BY a.i), c0 AS (SELECT (SELECT rz FROM g0) / sum(p * ap) AS alpha FROM s0 JOIN a0 USING (i)),
+  t1 AS (SELECT i, x + alpha * p AS x, r - alpha * ap AS r, p FROM s0 JOIN a0 USING (i), c0), g1 AS (SELECT sum(r * r / d.d) AS rz FROM t1 JOIN d USING (i)),
+  s1 AS (SELECT t1.i, x, r, r / d.d + (SELECT rz FROM g1) / (SELECT rz FROM g0) * p AS p FROM t1 JOIN d USING (i)),
+  a1 AS (SELECT a.i, sum(a.v * s1.p) AS ap FROM a JOIN s1 ON s1.i = a.j GROUP BY a.i), c1 AS (SELECT (SELECT rz FROM g1) / sum(p * ap) AS alpha FROM s1 JOIN a1 USING (i))
+  SELECT i, round(x + alpha * p, 6) AS v FROM s1 JOIN a1 USING (i), c1""")
+def pcg_two_steps(spark, d):
+    """Two iterations of Jacobi CG over tables, against the same two written out in SQL."""
+    from lattix.solvers.krylov import pcg_tables as f
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.precond import Jacobi
+
+    a = D.part_graph(spark, d)
+    x, _ = f(a, algebra.spmv(a, _x(a)), Jacobi.from_matrix(a), SolverOptions(1e-30, max_iterations=2))
+    return x.withColumn("v", F.round("v", 6))
+
+
+@query()
+def lanczos_extremes(spark, d):
+    from lattix.solvers.backend import LocalMatrix
+    from lattix.solvers.krylov import lanczos
+
+    a = LocalMatrix.collect(D.supp_graph(spark, d))
+    low, high, steps = lanczos(a, a.nrows, 40)
+    return spark.createDataFrame([(round(low, 4), round(high, 4), steps)], "smallest double, largest double, steps int")
+
+
+@query()
+def spectral_radius(spark, d):
+    from lattix.solvers.coarse import spectral_radius as f
+
+    return spark.createDataFrame([(round(f(D.supp_graph(spark, d)), 6),)], "radius double")
+
+
+# --- partitioners and decisions -----------------------------------------------------------------------
+
+_COUNTS = "SELECT CAST(r AS INTEGER) AS owner, n // 4 + CASE WHEN r < n % 4 THEN 1 ELSE 0 END AS rows FROM np, range(4) q(r)"
+
+
+def _partitioned(spark, d, how) -> tuple[SparseMatrix, DataFrame]:
+    from lattix.solvers.coarse import adjacency
+
+    a = D.part_graph(spark, d)
+    own = how(adjacency(graph.edges(a), a.nrows), 4)
+    return a, spark.createDataFrame(list(enumerate(own.tolist())), "i bigint, owner int")
+
+
+@query(_COUNTS)
+def region_growth_partition(spark, d):
+    from lattix.solvers.partitioners import region_growth
+
+    return partition.counts(_partitioned(spark, d, region_growth)[1])
+
+
+@query(_COUNTS)
+def multisource_partition(spark, d):
+    from lattix.solvers.partitioners import multisource
+
+    return partition.counts(_partitioned(spark, d, multisource)[1])
+
+
+@query()
+def multilevel_partition(spark, d):
+    from lattix.solvers.partitioners import multilevel
+
+    return partition.telemetry(*_partitioned(spark, d, multilevel))
+
+
+@query("SELECT i AS old FROM node")
+def reverse_cuthill_mckee(spark, d):
+    """The ordering is a permutation: its old indices are all there are."""
+    from lattix.solvers.coarse import adjacency
+    from lattix.solvers.partitioners import reverse_cuthill_mckee as f
+
+    a = D.part_graph(spark, d)
+    return spark.createDataFrame([(int(k),) for k in f(adjacency(graph.edges(a), a.nrows))], "old bigint")
+
+
+@query("""WITH e AS (SELECT event_id % 6 AS epoch, CAST(sum(value) * 100 AS BIGINT) AS baseline_ns, CAST(sum(value) * 70 AS BIGINT) AS graph_ns FROM (SELECT event_id, round(value, 0) AS value FROM events) GROUP BY 1)
+  SELECT count(*) AS epochs, min(baseline_ns - graph_ns) AS least_gain_ns, count(*) FILTER (baseline_ns - graph_ns <= 0) AS not_better, CAST(125000 AS BIGINT) AS cost_ns, count(*) >= 3 AND count(*) FILTER (baseline_ns - graph_ns <= 0) = 0 AND min(baseline_ns - graph_ns) * 10 > 125000 AS admitted FROM e""", parts=False)
+def robust_cost(spark, d):
+    from lattix.plans.admission import robust_cost as f
+
+    e = D.table(spark, d, "events").groupBy((F.col("event_id") % 6).alias("epoch")).agg(F.sum(F.round("value", 0)).alias("s"))
+    return f(e.select("epoch", (F.col("s") * 100).cast("long").alias("baseline_ns"), (F.col("s") * 70).cast("long").alias("graph_ns")), 100_000, 10)
+
+
+@query()
+def matrix_audit(spark, d):
+    return profile.audit(D.supp_graph(spark, d))
+
+
+@query()
+def matrix_signature(spark, d):
+    return profile.signature(D.part_graph(spark, d))
