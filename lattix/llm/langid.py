@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.llm.common import attach, held_out, sampled, slices
@@ -21,6 +21,8 @@ SIZES = (3, 4)
 #: Parameters of the model: rows fitted on (in all, shared out by language), most n-grams kept for a
 #: language and the share of its sampled texts that each is in, slots of the filter, probes of each n-gram.
 FIT_ROWS, GRAMS, GRAM_SHARE, SLOT_BITS, PROBES = 8_000, 20_000, 0.004, 19, 3
+#: A language keeps an n-gram whose share of its texts is at least this much of the highest share in any language.
+RELATIVE = 0.25
 _SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 _table: list[np.ndarray] = []
@@ -143,7 +145,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
                     value, n = np.unique(gram[lang == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = known.where(chosen).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counts = known.where(chosen).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # texts quote other languages: an n-gram belongs to those where it is nearly as common as where it is most common
+    size = F.lit(1.0)
+    for k, lang in enumerate(langs):
+        size = F.when(F.col("lang") == k, float(min(part, prior[lang]))).otherwise(size)
+    rate = F.col("n") / size
+    counts = counts.withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= RELATIVE * F.col("most")).select("lang", "gram", "n").persist()
     above: dict[int, list[tuple[int, int]]] = {}
     for r in counts.groupBy("lang", "n").count().collect():
         above.setdefault(r.lang, []).append((r.n, r["count"]))

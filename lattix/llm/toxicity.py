@@ -172,7 +172,7 @@ class Model:
             value = weight * (self.fuzzy if edits else self.exact)[term]
             best[term] = max(best.get(term, 0.0), value)
         total = sum(best.values())
-        return [1.0, math.log1p(total), max(best.values(), default=0.0), min(len(found) / max(tokens, 1) * 10, 3.0) if total else 0.0]
+        return [1.0, math.log1p(total), max(best.values(), default=0.0), min(sum(h[3] for h in found) / max(tokens, 1) * 10, 3.0) if total else 0.0]
 
     def score(self, found: list[tuple[int, int, int, float]], tokens: int) -> float:
         x = float(np.dot(self.curve, self.features(found, tokens)))
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                             seen.setdefault(w, [0, 0])[ys[at + k]] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["w", "p", "n"])
 
-    terms, exact = [], np.zeros(0)
+    terms, exact, counts = [], np.zeros(0), np.zeros((0, 2))
     if pos and neg:
         rate = pos / (pos + neg)
         n, k = F.col("p") + F.col("n"), F.col("p")
@@ -221,10 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         ratio = F.log((k + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
         tried = sample.mapInArrow(words, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(n >= LEAST_TEXTS).persist()
         least = math.log(max(tried.count(), 1)) + 0.5
-        kept = tried.where("p > 0").where((k / n > rate) & (tail >= least) & (ratio >= LEAST_RATIO)).select("w", ratio.alias("ratio")).collect()
+        kept = tried.where("p > 0").where((k / n > rate) & (tail >= least) & (ratio >= LEAST_RATIO)).select("w", "p", "n", ratio.alias("ratio")).collect()
         tried.unpersist()
         kept.sort(key=lambda r: r.w)
-        terms, exact = [r.w for r in kept], np.array([r.ratio for r in kept])
+        terms, exact, counts = [r.w for r in kept], np.array([r.ratio for r in kept]), np.array([(r.p, r.n) for r in kept], float).reshape(-1, 2)
     found = []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for h in r["hits"]:
             if h["fuzzy"] and h["term"] not in own:
                 seen[h["term"], r["y"]] += 1
-    # a misspelling counts as its term, less so the more often it is seen in texts that are not toxic
-    fuzzy = np.clip(np.log((seen[:, 1] + 2 * 0.95) / (pos + 2)) - np.log((seen[:, 0] + 2 * 0.05) / (neg + 2)), 0, 0.8 * exact) if len(terms) else exact
+    # misspellings are held to be as telling as their terms (with a twentieth of the terms' counts) until texts show otherwise
+    shown = seen + np.column_stack([0.05 * (counts[:, 1] + 0.5), 0.05 * (counts[:, 0] + 0.5)]) if terms else seen
+    fuzzy = np.clip(np.log(shown[:, 1] / (pos + 1)) - np.log(shown[:, 0] / (neg + 1)), 0, 0.9 * exact) if terms else exact
     model = Model(terms, exact, fuzzy, np.zeros(4))
     if found:
         x = np.array([model.features([(0, h["term"], h["fuzzy"], h["weight"]) for h in r["hits"] for _ in range(h["times"])], r["n"]) for r in found])
