@@ -712,11 +712,12 @@ def _solve(spark, d, make, tolerance: float = 1e-10, matrix=D.part_graph) -> Dat
     from lattix.solvers.backend import LocalMatrix, to_array, to_vector
     from lattix.solvers.krylov import pcg
     from lattix.solvers.options import SolverOptions
+    from lattix.solvers.system import Solver
 
-    a = matrix(spark, d)
+    a = Solver.stored(matrix(spark, d))
     local = LocalMatrix.collect(a)
     b = local(to_array(_x(a), a.ncols))
-    x, _ = pcg(local, b, make(local.to_df(spark)), options=SolverOptions(tolerance))
+    x, _ = pcg(local, b, make(a), options=SolverOptions(tolerance))
     return to_vector(spark, x).withColumn("v", F.round("v", 3))
 
 
@@ -724,8 +725,8 @@ def _system(spark, d, matrix=D.part_graph, **options) -> tuple[DataFrame, object
     from lattix.solvers.options import SolverOptions
     from lattix.solvers.system import Solver
 
-    a = matrix(spark, d)
-    x, report = Solver(SolverOptions(1e-10), **options).solve(a, algebra.spmv(a, _x(a)))
+    a = Solver.stored(matrix(spark, d))
+    x, report = Solver(SolverOptions(1e-10), **options).prepare(a).solve(algebra.spmv(a, _x(a)))
     return x.withColumn("v", F.round("v", 3)), report
 
 
@@ -832,7 +833,7 @@ def prepared_solve_many(spark, d):
     from lattix.solvers.options import SolverOptions
     from lattix.solvers.system import Solver
 
-    a = D.part_graph(spark, d)
+    a = Solver.stored(D.part_graph(spark, d))
     system = Solver(SolverOptions(1e-11)).prepare(a)
     b = algebra.spmv(a, _x(a))
     parts = [system.solve(b.select("i", (F.col("v") * k).alias("v")))[0] for k in (1, 2, 3)]

@@ -61,7 +61,7 @@ def grow_aggregates(near: list[np.ndarray], target: int, least: int = 1) -> tupl
             if own[node] < 0:
                 own[node] = number
                 group.append(node)
-                queue.extend(int(k) for k in near[node] if own[k] < 0)
+                queue.extend(near[node][own[near[node]] < 0].tolist())
         if len(group) >= least or least < 3:
             members.append(group)
             continue
@@ -79,11 +79,8 @@ def grow_aggregates(near: list[np.ndarray], target: int, least: int = 1) -> tupl
         for number, group in enumerate(members):
             if not 0 < len(group) < floor:
                 continue
-            edges: dict[int, int] = {}
-            for node in group:
-                for k in near[node]:
-                    if own[k] != number:
-                        edges[int(own[k])] = edges.get(int(own[k]), 0) + 1
+            other = own[np.concatenate([near[node] for node in group])]
+            edges = dict(zip(*(x.tolist() for x in np.unique(other[other != number], return_counts=True)), strict=True))
             if edges:
                 home = min(edges, key=lambda c: (-edges[c], len(members[c]), c))
                 own[group] = home

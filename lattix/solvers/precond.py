@@ -83,18 +83,29 @@ class Jacobi(MatrixPreconditioner):
 
 
 def block_inverses(a: SparseMatrix, region: DataFrame) -> DataFrame:
-    """``(block, i, j, v)``: inverses of the symmetric blocks ``(block, i)``, each factored in its own call."""
+    """``(block, i, j, v)``: inverses of the symmetric blocks ``(block, i)``, one dense factor each."""
     same = a.df.join(region.select("block", "i"), "i").join(region.select("block", F.col("i").alias("j")), ["block", "j"]).select("block", "i", "j", "v")
 
     def invert(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, own = np.unique(np.concatenate([frame.i, frame.j]), return_inverse=True)
-        n = len(rows)
-        dense = np.zeros((n, n))
-        np.add.at(dense, (own[: len(frame)], own[len(frame) :]), frame.v.to_numpy())
-        inv = inverse(dense)
-        return pd.DataFrame({"block": frame.block.iloc[0], "i": np.repeat(rows, n), "j": np.tile(rows, n), "v": inv.reshape(-1)})
+        order = np.argsort(frame.block.to_numpy(), kind="stable")
+        block, i, j, v = (frame[c].to_numpy()[order] for c in ("block", "i", "j", "v"))
+        out = []
+        for s, e in zip(*_runs(block), strict=True):
+            rows, own = np.unique(np.concatenate([i[s:e], j[s:e]]), return_inverse=True)
+            n = len(rows)
+            dense = np.zeros((n, n))
+            np.add.at(dense, (own[: e - s], own[e - s :]), v[s:e])
+            out.append((np.full(n * n, block[s]), np.repeat(rows, n), np.tile(rows, n), inverse(dense).reshape(-1)))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("block", "i", "j", "v"), zip(*out, strict=True), strict=True)})
+
+    # many small blocks share a call; the blocks of a call are as many whatever the matrix
+    return same.withColumn("batch", F.shiftright("block", 7)).groupBy("batch").applyInPandas(invert, "block bigint, i bigint, j bigint, v double")
+
 
-    return same.groupBy("block").applyInPandas(invert, "block bigint, i bigint, j bigint, v double")
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of equal values."""
+    start = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    return start, np.append(start[1:], len(sorted_values))
 
 
 def block_jacobi(a: SparseMatrix, width: int, owners: DataFrame | None = None) -> MatrixPreconditioner:
@@ -174,7 +185,7 @@ def two_level(a: SparseMatrix, dofs: int = 3, target_dimension: int = 1536, aggr
     transfer = C.piecewise_transfer(a, dofs, aggregates, count)
     if basis == "jacobi_smoothed":
         transfer = C.smoothed_transfer(a, transfer)
-    return TwoLevel(a, block_jacobi(a, dofs), transfer)
+    return TwoLevel(a, Jacobi.from_matrix(a) if dofs == 1 else block_jacobi(a, dofs), transfer)
 
 
 def rigid_body(a: SparseMatrix, coords: DataFrame, target_dimension: int = 1536, aggregation: str = "graph", balanced: bool = False) -> TwoLevel:

@@ -193,11 +193,16 @@ class Solver:
             raise UnsupportedProblem("structural systems are SPD with three rows for each node")
         return PreparedSystem(a, self.analyze(a), self.options, self.hybrid, self.general, coords, balanced)
 
+    @staticmethod
+    def stored(a: SparseMatrix) -> SparseMatrix:
+        """The matrix evaluated once, since analysis and preparation read it several times."""
+        return SparseMatrix(materialize(a.df, "matrix"), a.nrows, a.ncols)
+
     def solve(self, a: SparseMatrix, b: DataFrame) -> tuple[DataFrame, Report]:
-        return self.prepare(a).solve(b)
+        return self.prepare(self.stored(a)).solve(b)
 
     def solve_structural(self, a: SparseMatrix, coords: DataFrame, b: DataFrame) -> tuple[DataFrame, Report]:
-        return self.prepare_structural(a, coords).solve(b)
+        return self.prepare_structural(self.stored(a), coords).solve(b)
 
 
 __all__ = ["Analysis", "Identity", "PreparedSystem", "Solver", "analyze"]
