@@ -196,3 +196,18 @@ def owned_rows(a: SparseMatrix, owners: DataFrame) -> DataFrame:
 def owner_directory(a: SparseMatrix, owners: DataFrame) -> DataFrame:
     """``(rank, j, owner)``: the owners of just those columns that a rank reads and doesn't own."""
     return halo(a, owners).select("rank", F.col("dof").alias("j"), F.col("peer").alias("owner"))
+
+
+def score_blocks(a: SparseMatrix, r: DataFrame, width: int, rule: str, budget_bytes: int) -> DataFrame:
+    """``(block, size, score, taken)`` of contiguous blocks by residual energy per byte of a dense factor.
+
+    ``boundary_coupling`` divides that by one plus the share of the block's L1 that crosses its boundary.
+    """
+    if rule not in ("residual_energy", "boundary_coupling"):
+        raise InvalidArgument(f"no such rule: {rule}")
+    rows = a.rows().groupBy(F.floor(F.col("i") / width).alias("block")).agg(F.count("*").alias("n"))
+    told = block_coupling(a, r, width).join(rows, "block").withColumn("size", F.col("n") * F.col("n") * 8)
+    score = F.col("energy") / F.col("size")
+    if rule == "boundary_coupling":
+        score = score / (1 + F.col("boundary") / F.greatest(F.col("internal") + F.col("boundary"), F.lit(2.2250738585072014e-308)))
+    return budget_blocks(told.select("block", "size", score.alias("score")), budget_bytes)

@@ -125,3 +125,58 @@ def bit_exact(a: SparseMatrix, b: SparseMatrix) -> bool:
         return m.df.select("i", "j", F.col("v").cast("string").alias("v")).groupBy("i", "j", "v").count()
 
     return not bits(a).exceptAll(bits(b)).take(1) and not bits(b).exceptAll(bits(a)).take(1)
+
+
+#: Rows up to which a dense factorisation may certify a matrix.
+DENSE_MOST = 512
+
+
+def classify_spd(a: SparseMatrix) -> str:
+    """How the matrix is known to be SPD, or :class:`UnsupportedProblem`.
+
+    Strict dominance; else weak dominance of an M-matrix each of whose components has a strictly
+    dominant row; else a dense factorisation of at most :data:`DENSE_MOST` rows.
+    """
+    import numpy as np
+
+    from lattix.operators.components import connected_components
+    from lattix.schema import NumericalBreakdown, UnsupportedProblem
+
+    a.need_square().validate()
+    even = symmetry(a, 0.0).first()
+    if even.missing_transpose or even.asymmetric:
+        raise UnsupportedProblem("the matrix is not exactly symmetric")
+    rows = dominance(a)
+    told = rows.agg(F.count_if(F.col("diag") <= 0).alias("bad"), F.count_if(F.col("class") != "strict").alias("weak"), F.count_if(F.col("class") == "none").alias("none")).first()
+    if told.bad:
+        raise UnsupportedProblem("an SPD matrix has a positive diagonal")
+    if not told.weak:
+        return "strict_diagonal_dominance"
+    if not told.none and not a.canonical().df.where("i <> j and v > 0").take(1):
+        anchor = F.col("diag") > F.col("off") + 1e-12 * F.greatest(F.col("diag") + F.col("off"), F.lit(1.0))
+        parts = connected_components(a.df.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+        loose = parts.withColumnRenamed("node", "i").join(rows.select("i", anchor.alias("anchor")), "i").groupBy("component").agg(F.bool_or("anchor").alias("held")).where("not held")
+        if not loose.take(1):
+            return "anchored_weak_diagonal_dominance"
+    if a.nrows > DENSE_MOST:
+        raise UnsupportedProblem(f"no dominance, and more than {DENSE_MOST} rows for a dense proof")
+    from lattix.solvers.backend import LocalMatrix
+    from lattix.solvers.precond import cholesky
+
+    dense = LocalMatrix.collect(a).dense()
+    try:
+        low = cholesky(dense)
+    except NumericalBreakdown as e:
+        raise UnsupportedProblem("the dense factorisation fails") from e
+    if (np.diag(low) ** 2).min() <= 1e-12 * max(1.0, np.diag(dense).max()):
+        raise UnsupportedProblem("a pivot of the dense factorisation is too small")
+    return "bounded_cholesky"
+
+
+def rayleigh_screen(a: SparseMatrix) -> DataFrame:
+    """One row ``smallest``: the least of four Rayleigh quotients (ones, alternating, ramp, probe). A screen, not a proof."""
+    i = F.col("i")
+    probes = {"ones": lambda i: F.lit(1.0), "alternating": lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0), "ramp": lambda i: (i + 1).cast("double") / a.nrows, "probe": lambda i: (1 + (i * 17 + 11) % 101).cast("double")}
+    up = a.df.agg(*[F.sum(f(i) * F.col("v") * f(F.col("j"))).alias(k) for k, f in probes.items()])
+    down = a.rows().agg(*[F.sum(f(i) * f(i)).alias(f"n_{k}") for k, f in probes.items()])
+    return up.crossJoin(F.broadcast(down)).select(F.least(*[F.col(k) / F.col(f"n_{k}") for k in probes]).alias("smallest"))

@@ -2,48 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.schema import InvalidArgument
-
-
-@dataclass(frozen=True)
-class Calibration:
-    """Cost of a solve per cut entry, per ghost and per peer, in nanoseconds, and of preparing the refined cuts."""
-
-    cut_ns: float
-    ghost_ns: float
-    peer_ns: float
-    prepare_ns: float
-    solves: int
-
-    def __post_init__(self):
-        if min(self.cut_ns, self.ghost_ns, self.peer_ns, self.prepare_ns) < 0 or self.solves < 1:
-            raise InvalidArgument("costs must not be negative and there must be a solve to pay them")
-
-
-def choose_partition(aligned: dict, refined: dict, calibration: Calibration | None, imbalance: float = 1.15) -> tuple[str, str]:
-    """``(choice, reason)`` between two telemetry rows. Without calibration, or if it balances worse or gains nothing, the plain cuts stay."""
-    if calibration is None:
-        return "aligned", "no_calibration"
-    if refined == aligned:
-        return "aligned", "identical"
-    if refined["row_imbalance"] > imbalance:
-        return "aligned", "row_imbalance"
-    if refined["nnz_imbalance"] > imbalance:
-        return "aligned", "nnz_imbalance"
-    for metric in ("cut_nnz", "ghosts", "max_peers"):
-        if refined[metric] > aligned[metric]:
-            return "aligned", f"more_{metric}"
-    gain = calibration.cut_ns * (aligned["cut_nnz"] - refined["cut_nnz"]) + calibration.ghost_ns * (aligned["ghosts"] - refined["ghosts"]) + calibration.peer_ns * (aligned["max_peers"] - refined["max_peers"])
-    if gain <= 0:
-        return "aligned", "no_gain"
-    if gain * calibration.solves <= calibration.prepare_ns:
-        return "aligned", "not_amortised"
-    return "refined", "amortised"
 
 
 def calibration_key(matrix_signature: tuple[int, int], layout_rows: int, ranks: int, environment: str) -> str:

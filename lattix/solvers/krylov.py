@@ -141,6 +141,37 @@ def pcg_tables(a: SparseMatrix, b: DataFrame, m=None, options: SolverOptions = S
     return state.select("i", F.col("x").alias("v")), Outcome(Status.MAX_ITERATIONS, options.max_iterations, first.norm, norm)
 
 
+def pcg_promoting(
+    a: Product, b: np.ndarray, base, stronger: Callable[[np.ndarray], object], window: int = 12, ratio: float = 0.5, options: SolverOptions = SolverOptions(1e-9, 1e-13, 2000)
+) -> tuple[np.ndarray, Outcome, int | None, list[tuple[int, float]]]:
+    """CG that changes its preconditioner once: ``(x, outcome, iteration of the change, residual trace)``.
+
+    After each window the residual is compared with that at the window's start. If it fell by less
+    than ``ratio`` asks, ``stronger(residual)`` is built and CG starts anew from where it is;
+    otherwise the same session goes on. The outcome is checked against the true residual.
+    """
+    session, promoted, total = PcgSession.start(a, b, None, base, options, trace=True), None, None
+    trace = [(0, session.residual)]
+    while True:
+        left = options.max_iterations - (total.iterations if total else 0)
+        before = session.residual
+        out = session.advance(min(left, window) if promoted is None else left)
+        done = total.iterations if total else 0
+        trace += [(done + k + 1, r) for k, r in enumerate(session.trace[-out.iterations :] if out.iterations else [])]
+        total = total.then(out) if total else out
+        if out.status is not Status.MAX_ITERATIONS or total.iterations >= options.max_iterations:
+            return session.x, verified(a, b, session.x, total, options), promoted, trace
+        if promoted is None and session.residual / before > ratio:
+            promoted = total.iterations
+            session = PcgSession.start(a, b, session.x, stronger(b - a(session.x)), options, trace=True)
+
+
+def trace_table(spark, trace: list[tuple[int, float]], stride: int = 1) -> DataFrame:
+    """``(iteration, residual)`` of each ``stride``-th iteration, the first and the last."""
+    rows = [t for k, t in enumerate(trace) if k % stride == 0 or k == len(trace) - 1]
+    return spark.createDataFrame(rows, "iteration int, residual double")
+
+
 def fgmres(a: Product, b: np.ndarray, m=None, x: np.ndarray | None = None, options: SolverOptions = SolverOptions(), restart: int = 30, control: RestartControl | None = None) -> tuple[np.ndarray, Outcome, int]:
     """Restarted, right-preconditioned flexible GMRES: ``(x, outcome, last restart)``.
 

@@ -139,10 +139,12 @@ def schwarz(a: SparseMatrix, regions: DataFrame) -> MatrixPreconditioner:
 class TwoLevel:
     """B⁻¹ + P A_c⁻¹ Pᵀ (additive), or the balanced form (I - C A) B⁻¹ (I - A C) + C with C = P A_c⁻¹ Pᵀ."""
 
-    def __init__(self, a: SparseMatrix, base, transfer: SparseMatrix, balanced: bool = False):
+    def __init__(self, a: SparseMatrix, base, transfer: SparseMatrix, balanced: bool = False, single: bool = False):
         if transfer.ncols > COARSE_MOST:
             raise InvalidArgument(f"a coarse space of {transfer.ncols} exceeds {COARSE_MOST}")
         self.a, self.base, self.balanced = a, base, balanced
+        if single:  # weights kept in single precision
+            transfer = SparseMatrix(transfer.df.withColumn("v", F.col("v").cast("float").cast("double")), transfer.nrows, transfer.ncols)
         self.transfer = SparseMatrix(materialize(transfer.df, "transfer"), transfer.nrows, transfer.ncols)
         self.coarse = LocalMatrix.collect(algebra.galerkin(a, self.transfer)).dense()
         self.coarse = (self.coarse + self.coarse.T) / 2
@@ -175,7 +177,7 @@ class TwoLevel:
         return z - p(self.inverse @ pt(a(z))) + c
 
 
-def two_level(a: SparseMatrix, dofs: int = 3, target_dimension: int = 1536, aggregation: str = "contiguous", basis: str = "piecewise_constant", nodes: int | None = None) -> TwoLevel:
+def two_level(a: SparseMatrix, dofs: int = 3, target_dimension: int = 1536, aggregation: str = "contiguous", basis: str = "piecewise_constant", nodes: int | None = None, single: bool = False) -> TwoLevel:
     """Block Jacobi of node blocks and an algebraic coarse space."""
     nodes = nodes or C.recommended_nodes(a.nrows, dofs, target_dimension)
     if aggregation == "contiguous":
@@ -185,7 +187,7 @@ def two_level(a: SparseMatrix, dofs: int = 3, target_dimension: int = 1536, aggr
     transfer = C.piecewise_transfer(a, dofs, aggregates, count)
     if basis == "jacobi_smoothed":
         transfer = C.smoothed_transfer(a, transfer)
-    return TwoLevel(a, Jacobi.from_matrix(a) if dofs == 1 else block_jacobi(a, dofs), transfer)
+    return TwoLevel(a, Jacobi.from_matrix(a) if dofs == 1 else block_jacobi(a, dofs), transfer, single=single)
 
 
 def rigid_body(a: SparseMatrix, coords: DataFrame, target_dimension: int = 1536, aggregation: str = "graph", balanced: bool = False) -> TwoLevel:
@@ -204,6 +206,32 @@ def rank_constant(a: SparseMatrix, owners: DataFrame) -> TwoLevel:
     return TwoLevel(a, Jacobi.from_matrix(a), SparseMatrix(ranks, a.nrows, owners.agg(F.max("owner")).first()[0] + 1))
 
 
+def selected_blocks(a: SparseMatrix, scores: DataFrame, width: int) -> MatrixPreconditioner:
+    """Dense factors on the blocks that :func:`lattix.operators.partition.score_blocks` took, Jacobi elsewhere."""
+    taken = scores.where("taken").select("block")
+    region = a.rows().withColumn("block", F.floor(F.col("i") / width)).join(taken, "block", "left_semi").select("block", "i")
+    inv = materialize(block_inverses(a, region), "selected").select("i", "j", "v")
+    rest = need_diagonal(a, positive=True).join(region, "i", "left_anti").select("i", F.col("i").alias("j"), (1 / F.col("v")).alias("v"))
+    return MatrixPreconditioner(SparseMatrix(inv.union(rest), a.nrows, a.ncols))
+
+
+def make(kind: str, a: SparseMatrix, owners: DataFrame | None = None, width: int = 32, general: bool = False):
+    """A preconditioner by name."""
+    made = {
+        "identity": Identity,
+        "jacobi": lambda: Jacobi.from_matrix(a, general),
+        "block_jacobi": lambda: block_jacobi(a, width),
+        "local_block_cholesky": lambda: block_jacobi(a, width, owners),
+        "local_ic0": lambda: ic0_blocks(a, owners),
+        "rank_constant": lambda: rank_constant(a, owners),
+        "ilu0": lambda: Ilu0(a),
+        "ilu0_identity_fallback": lambda: Ilu0(a, True),
+    }
+    if kind not in made:
+        raise InvalidArgument(f"no preconditioner {kind}")
+    return made[kind]()
+
+
 class Ilu0:
     """Incomplete LU without fill, by rows on the driver.
 

@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.operators import algebra, partition
+from lattix.operators import algebra, layout, partition, profile
 from lattix.plans import admission
-from lattix.schema import InvalidArgument, LattixError, MissingDiagonal, NumericalBreakdown, SparseMatrix, UnsupportedProblem
-from lattix.solvers import coarse, krylov, partitioners, precond, regions
+from lattix.schema import DimensionMismatch, InvalidArgument, LattixError, MissingDiagonal, NumericalBreakdown, SparseMatrix, UnsupportedProblem
+from lattix.solvers import coarse, contiguous, krylov, partitioners, precond, regions
 from lattix.solvers.backend import BlockedMatrix, LocalMatrix, to_array, to_vector
 from lattix.solvers.options import CoarseOptions, Execution, GeneralOptions, GeneralPreconditioner, HybridOptions, ProblemClass, Restart, Selection, SolverOptions, Status
 from lattix.solvers.schur import Schur
@@ -335,15 +335,6 @@ def test_cut_refinement():
 
 
 def test_admission(spark):
-    base = {"cut_nnz": 100, "ghosts": 50, "max_peers": 3, "row_imbalance": 1.0, "nnz_imbalance": 1.0}
-    better = base | {"cut_nnz": 60, "ghosts": 40}
-    cal = admission.Calibration(10, 10, 0, 4000, 10)
-    assert admission.choose_partition(base, better, None) == ("aligned", "no_calibration")
-    assert admission.choose_partition(base, base, cal)[1] == "identical"
-    assert admission.choose_partition(base, better, cal) == ("refined", "amortised")
-    assert admission.choose_partition(base, better, admission.Calibration(10, 10, 0, 5000, 10))[1] == "not_amortised"
-    assert admission.choose_partition(base, better | {"ghosts": 51}, cal)[1] == "more_ghosts"
-    assert admission.choose_partition(base, better | {"row_imbalance": 1.2}, cal)[1] == "row_imbalance"
     assert admission.calibration_key((1, 2), 3, 4, "x") != admission.calibration_key((1, 2), 3, 5, "x")
     epochs = lambda rows: spark.createDataFrame(rows, "epoch int, baseline_ns bigint, graph_ns bigint")
     good = [(k, 1000 + k, 900) for k in range(3)]
@@ -351,5 +342,90 @@ def test_admission(spark):
     assert not admission.robust_cost(epochs(good), 800, 10).first().admitted  # not strictly above with a quarter more
     assert not admission.robust_cost(epochs(good[:2]), 1, 10).first().admitted
     assert not admission.robust_cost(epochs([*good, (9, 5, 5)]), 1, 10).first().admitted
+
+
+def blocks_of(spark, sizes):
+    return layout.offsets(spark.createDataFrame([(k, s, 0) for k, s in enumerate(sizes)], "block_index bigint, components bigint, field_id int"))
+
+
+def test_cost_aware_cuts(spark):
+    """Two heavy clusters joined by one edge at 9: the even cut at 8 crosses a cluster."""
+    pairs = [(a, b) for a in range(9) for b in range(9) if a != b] + [(a, b) for a in range(9, 16) for b in range(9, 16) if a != b] + [(8, 9), (9, 8)]
+    rows = [(k, k, 20.0) for k in range(16)] + [(a, b, -1.0) for a, b in pairs]
+    a = SparseMatrix(spark.createDataFrame(rows, "i bigint, j bigint, v double"), 16, 16)
+    lay = blocks_of(spark, [1] * 16)
+    good = (1000, 500, 10)
+    decide = lambda ranks=2, **o: contiguous.cost_aware(a, lay, ranks, contiguous.CostOptions(**o))
+    assert decide(1)[2] == "single_rank" and decide()[2] == "no_expected_reuse"
+    assert decide(expected_products=9)[2] == "no_calibration"
+    assert decide(expected_products=9, calibration=good, radius=0)[2] == "zero_search_radius"
+    assert decide(expected_products=9, calibration=(500, 500, 1))[2] == "no_calibrated_speedup"
+    assert decide(expected_products=9, calibration=(1000, 500, 4500))[2] == "unamortized_preparation"
+    assert decide(expected_products=9, calibration=good, row_imbalance=1.0, nnz_imbalance=1.5)[2] == "load_imbalance_limit"
+    parts, kind, why = decide(expected_products=9, calibration=good, row_imbalance=1.2, nnz_imbalance=1.5)
+    assert (parts, kind, why) == ([(0, 0, 9), (1, 9, 16)], "graph", "graph_selected")
+    assert decide(expected_products=9, calibration=good, nnz_imbalance=1.0)[2] in ("graph_proposal_rejected", "graph_not_distinct")
+    with pytest.raises(DimensionMismatch):
+        contiguous.cost_aware(a, blocks_of(spark, [1] * 15), 2)
+    with pytest.raises(InvalidArgument):
+        contiguous.CostOptions(row_imbalance=0.9)
+
+
+def test_field_halos_and_topology(spark):
+    a, lay = chain(spark, 12), blocks_of(spark, [3, 3, 3, 3])
+    halos = contiguous.FieldHalos(a, lay, [(0, 0, 6), (1, 6, 12)])
+    assert sorted(tuple(r) for r in halos.plan.collect()) == [(0, 1, 6), (1, 0, 5)] and halos.matrices.count() == 34
+    with pytest.raises(InvalidArgument):
+        contiguous.FieldHalos(a, lay, [(0, 0, 5), (1, 5, 12)])
+    seeds = spark.createDataFrame([(7, 4), (8, 0)], "region bigint, i bigint")
+    topology = contiguous.FieldTopology(a, lay)
+    got = {}
+    for r in topology.grow(seeds, 1).collect():
+        got.setdefault(r.region, set()).add(r.i)
+    assert got == {7: set(range(9)), 8: set(range(6))}
+
+
+def test_promotion(spark):
+    a = grid7(spark, 5, 5, 2)
+    local, b = ones_problem(a)
+    b = b + np.arange(50) % 4
+    strong = precond.block_jacobi(a, 10)
+    x, out, promoted, trace = krylov.pcg_promoting(local, b, precond.Identity(), lambda r: strong, window=3, ratio=1e-6)
+    assert promoted == 3 and out.status is Status.CONVERGED and np.abs(local(x) - b).max() < 1e-5
+    _, out, promoted, trace = krylov.pcg_promoting(local, b, strong, lambda r: strong, window=3, ratio=0.99)
+    assert promoted is None and trace[0][0] == 0 and trace[-1][0] == out.iterations
+    assert krylov.trace_table(spark, trace).count() == len(trace)
+
+
+def test_selected_blocks(spark):
+    a = block_diagonal(spark, 2, [4, 4], 0)
+    r = to_vector(spark, np.array([0.0, 0, 1, 1, 1, 1, 9, 0, 0, 0]))
+    picked = partition.score_blocks(a, r, 5, "residual_energy", 25 * 8)
+    assert [x.block for x in picked.where("taken").collect()] == [1]
+    m = precond.selected_blocks(a, picked, 5)
+    assert np.isfinite(m.solve(np.ones(10))).all() and m.solve(np.ones(10))[0] == 1.0
+    assert partition.score_blocks(a, r, 5, "boundary_coupling", 400).where("taken").count() == 2
+
+
+def test_spd_classes(spark):
+    assert profile.classify_spd(grid7(spark, 3, 2, 2)) == "strict_diagonal_dominance"
+    assert profile.classify_spd(poisson_1d(spark, 12)) == "anchored_weak_diagonal_dominance"
+    dense = csr_to_matrix(spark, 2, 2, [0, 2, 4], [0, 1, 0, 1], [2.0, 1.9, 1.9, 1.9])
+    assert profile.classify_spd(dense) == "bounded_cholesky"
+    with pytest.raises(UnsupportedProblem):
+        profile.classify_spd(csr_to_matrix(spark, 2, 2, [0, 2, 4], [0, 1, 0, 1], [1.0, 2.0, 2.0, 1.0]))
+    with pytest.raises(UnsupportedProblem):
+        profile.classify_spd(csr_to_matrix(spark, 2, 2, [0, 2, 4], [0, 1, 0, 1], [3.0, 1.0, 1.5, 3.0]))
+    assert profile.rayleigh_screen(poisson_1d(spark, 12)).first().smallest > 0
+
+
+def test_dispatch_and_single_precision(spark):
+    a = grid7(spark, 3, 3, 2)
+    owners = partition.owners_of(spark, partition.balanced(18, 2))
+    r = np.arange(18.0)
+    for kind in ("identity", "jacobi", "block_jacobi", "local_block_cholesky", "local_ic0", "rank_constant"):
+        assert np.isfinite(precond.make(kind, a, owners=owners, width=4).solve(r)).all()
     with pytest.raises(InvalidArgument):
-        admission.Calibration(-1, 0, 0, 0, 1)
+        precond.make("magic", a)
+    wide, single = precond.two_level(a, 1, 6), precond.two_level(a, 1, 6, single=True)
+    assert np.abs(wide.solve(r) - single.solve(r)).max() < 1e-4
