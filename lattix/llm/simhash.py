@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.llm.common import attach, slices
@@ -166,8 +166,7 @@ def links(fps: DataFrame, distance: int = 2, group: int = GROUP) -> DataFrame:
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     masks = F.array(*[F.lit(m) for m in _wild_masks(distance)]) if distance <= 2 else _masks3()
     spread = crowded.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
-    few = spread.groupBy("slot", "part").agg(F.min("fp").alias("src"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    stars = few.select("src", F.explode("all").alias("dst")).where("src <> dst").distinct()
+    stars = spread.select(F.min("fp").over(Window.partitionBy("slot", "part")).alias("src"), F.col("fp").alias("dst")).where("src <> dst").distinct()
     return found.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")).union(stars)
 
 
@@ -188,12 +187,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, group: i
     doc_id takes part with component null unless its class has an id. An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, width), "simhash-fp")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     found = connected_components(links(nodes.select("fp"), distance, group))
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = nodes.join(linked.join(least, "component").select("fp", "component", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("class_fp"))
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id", "class_fp")
+    classes = nodes.join(linked.join(least, "component").select("fp", "component", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("class_fp"))
+    classes = materialize(classes, "simhash-named")
+    # fingerprints of many copies meet their rows by broadcast, the others by exchange. Those above one row in
+    # ten thousand are fewer than ten thousand, however large the table
+    often = max(marked.count() // 10_000, 500)
+    many, few = classes.where(F.col("n") > often).drop("n"), classes.where(F.col("n") <= often).drop("n")
+    copied = marked.join(F.broadcast(many), "fp")
+    single = marked.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(few, "fp")
+    return copied.unionByName(single).select("doc_id", "fp", "component_id", "class_fp")
 
 
 def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
