@@ -16,6 +16,21 @@ FIT_ROWS = 20_000
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 2048
 
 
+#: Bytes of an Arrow batch between Spark and Python. Spark's own default is a quarter of a gigabyte.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, so that neither many rows nor long texts fill a worker.
+
+    The limit is a setting of the session; one that is lower already stays.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(key, str(1 << 30))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of ids (crc32 of the id as text, modulo 4, is 2) that is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -80,4 +95,4 @@ def attach(docs: DataFrame, make, fields: str, keep: list[str] | None = None, al
                 more = [batch.column(len(keep) + i).slice(at, len(part)) for i in range(len(also))]
                 yield pa.RecordBatch.from_arrays([c.slice(at, len(part)) for c in rows] + list(kernel(part, *more)), names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

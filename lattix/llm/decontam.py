@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, slices
+from lattix.llm.common import attach, map_arrow, slices
 from lattix.llm.text import Words
 
 WIDTH = 13
@@ -98,7 +98,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for row in docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for row in map_arrow(docs.select(F.col("text").cast("string")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         out[row.word] = row.n
     return out
 

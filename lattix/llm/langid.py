@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, held_out, sampled, slices
+from lattix.llm.common import attach, held_out, map_arrow, sampled, slices
 
 SIZES = (3, 4)
 #: Parameters of the model: rows fitted on (in all, shared out by language), most n-grams kept for a
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
                     value, n = np.unique(gram[lang == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = known.where(chosen).select("lang", F.col("text").cast("string").alias("text")).mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_arrow(known.where(chosen).select("lang", F.col("text").cast("string").alias("text")), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # texts quote other languages: an n-gram belongs to those where it is nearly as common as where it is most common
     size = F.lit(1.0)
     for k, lang in enumerate(langs):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, labelled_sample, slices
+from lattix.llm.common import attach, labelled_sample, map_arrow, slices
 from lattix.llm.text import Words
 
 THRESHOLD = 0.7
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, metadata: tupl
                 order = np.add.reduceat(np.append(feature * 7919 + (value * 1e6).astype(np.int64), 0), bounds[:-1]) if len(part) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*lists, batch.column(1 + len(held)).slice(at, len(part)), pa.array(order.astype(np.int64))], ["f", "x", "y", "o"])
 
-    got = sample.mapInArrow(run, "f array<int>, x array<float>, y int, o long").toArrow()
+    got = map_arrow(sample, run, "f array<int>, x array<float>, y int, o long").toArrow()
     width = (1 << WORD_BITS) + (len(STATS) + len(metadata)) * (STEPS + 1)
     machine = Machine(width)
     if got.num_rows:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, slices
+from lattix.llm.common import attach, map_arrow, slices
 from lattix.operators.components import connected_components
 from lattix.plans.storage import materialize
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     out[at + k] = simhash(value.as_buffer().to_pybytes() if value.is_valid else b"", width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -162,7 +162,8 @@ def links(fps: DataFrame, distance: int = 2, group: int = GROUP) -> DataFrame:
     go through variants with ``distance`` wildcards: each such group has at most 2**distance
     members, all within the distance, and is linked to its smallest member.
     """
-    found = materialize(variants(fps, distance).repartition("slot", "part").sortWithinPartitions("slot", "part").mapInArrow(_match(distance, group), "a long, b long"), "simhash-links")
+    sorted_ = variants(fps, distance).repartition("slot", "part").sortWithinPartitions("slot", "part")
+    found = materialize(map_arrow(sorted_, _match(distance, group), "a long, b long"), "simhash-links")
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     masks = F.array(*[F.lit(m) for m in _wild_masks(distance)]) if distance <= 2 else _masks3()
     spread = crowded.select("fp", F.posexplode(masks).alias("slot", "mask")).select("fp", "slot", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import FIT_ROWS, attach, labelled_sample, slices
+from lattix.llm.common import FIT_ROWS, attach, labelled_sample, map_arrow, slices
 from lattix.plans.storage import materialize
 
 THRESHOLD = 0.3
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         n, k = F.col("p") + F.col("n"), F.col("p")
         tail = k * F.log(k / n / rate) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - rate))).otherwise(0.0)
         ratio = F.log((k + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-        tried = sample.mapInArrow(words, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(n >= LEAST_TEXTS).persist()
+        tried = map_arrow(sample, words, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(n >= LEAST_TEXTS).persist()
         least = math.log(max(tried.count(), 1)) + 0.5
         kept = tried.where("p > 0").where((k / n > rate) & (tail >= least) & (ratio >= LEAST_RATIO)).select("w", "p", "n", ratio.alias("ratio")).collect()
         tried.unpersist()
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.struct([("term", pa.int32()), ("fuzzy", pa.int32()), ("weight", pa.float64()), ("times", pa.int32())])))], ["y", "n", "hits"])
 
     if terms:
-        found = sample.mapInArrow(scan, "y int, n long, hits array<struct<term:int,fuzzy:int,weight:double,times:int>>").toArrow().to_pylist()
+        found = map_arrow(sample, scan, "y int, n long, hits array<struct<term:int,fuzzy:int,weight:double,times:int>>").toArrow().to_pylist()
     seen = np.zeros((len(terms), 2))
     for r in found:
         own = {h["term"] for h in r["hits"] if not h["fuzzy"]}
