@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import SLICE_BYTES
+from lattix.llm.common import SLICE_BYTES, map_arrow
 from lattix.llm.text import Words, mix
 
 BINS, BITS, SHINGLE = 256, 4, 5
@@ -81,7 +81,7 @@ def _ranges(docs: DataFrame, rows_per_range: int, most_ranges: int) -> list[int]
     return sorted({low, *(int(c) for c in cuts)} - {None})
 
 
-def successors(docs: DataFrame, rows_per_range: int = 8192, most_ranges: int = 10_000) -> tuple[DataFrame, int]:
+def successors(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 20_000) -> tuple[DataFrame, int]:
     """Rows ``(range, wrap, doc_id, text, guest)`` such that each range, in order, holds its documents and the next one.
 
     One exchange by range of doc_id. The first document of a range also goes, as a guest, to the
@@ -92,11 +92,12 @@ def successors(docs: DataFrame, rows_per_range: int = 8192, most_ranges: int = 1
     nulls = rows.where("doc_id is null").limit(1).count() > 0
     last = max(len(heads) - 1, 0)
     bounds = F.array(*[F.lit(h).cast("long") for h in heads]) if heads else F.array().cast("array<long>")
-    home = F.greatest(F.lit(0), _rank(bounds, F.col("doc_id"), len(heads)) - 1)
-    own = F.struct(F.coalesce(home, F.lit(0)).alias("range"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
+    rows = rows.withColumn("home", F.greatest(F.lit(0), _rank(bounds, F.col("doc_id"), len(heads)) - 1))
+    home = F.col("home")
+    own = F.struct(home.alias("range"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
     guests = []
     if heads:
-        is_head = F.array_contains(bounds, F.col("doc_id")) & (F.col("doc_id") != heads[0])
+        is_head = (home > 0) & (F.get(bounds, home) == F.col("doc_id"))
         guests.append(F.when(is_head, F.struct((home - 1).alias("range"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))))
     first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == (heads[0] if heads else 0)
     guests.append(F.when(first, F.struct(F.lit(last).alias("range"), F.lit(1).alias("wrap"), F.lit(True).alias("guest"))))
@@ -110,7 +111,7 @@ def _rank(bounds: Column, value: Column, n: int) -> Column:
     return F.aggregate(strides, F.lit(0), lambda found, step: F.when((found + step <= n) & (F.get(bounds, found + step - 1) <= value), found + step).otherwise(found))
 
 
-def fingerprint(docs: DataFrame, rows_per_range: int = 8192) -> DataFrame:
+def fingerprint(docs: DataFrame, rows_per_range: int = 2048) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` of each row.
 
     The next document is the one with the next higher doc_id; after the last comes the first.
@@ -158,4 +159,4 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 8192) -> DataFrame:
         if rows:
             yield batch_of(rows, following)
 
-    return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(placed, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
