@@ -60,8 +60,8 @@ def waterfill(children: DataFrame, family: list[str]) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], share: tuple[int, int], max_epochs: int) -> DataFrame:
     """``leaves`` (levels and n_tokens) with ``budget``; the root is given total * share[0] div share[1] tokens."""
     capped = leaves.withColumn("cap", F.col("n_tokens") * max_epochs)
-    total = leaves.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all"))
-    given = total.select(F.least(F.expr(f"`all` * {share[0]} div {share[1]}"), F.col("all") * max_epochs).alias("given"))
+    total = leaves.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    given = min(total * share[0] // share[1], total * max_epochs)
     up: list[str] = []
     nodes = None
     for level in levels:
@@ -70,7 +70,7 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
         for name, w in weights.get(level, {}).items():
             weight = F.when(F.col(level) == name, F.lit(w).cast("long")).otherwise(weight)
         node = capped.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumns({"weight": weight, "name": F.col(level)})
-        node = node.crossJoin(F.broadcast(given)) if nodes is None else node.join(nodes, up)  # ``given`` is a single row
+        node = node.withColumn("given", F.lit(given).cast("long")) if nodes is None else node.join(nodes, up)
         nodes = waterfill(node, up).select(*path, F.col("budget").alias("given"))
         up = path
     return capped.drop("cap").join(nodes.withColumnRenamed("given", "budget"), levels)
