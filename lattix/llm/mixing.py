@@ -112,13 +112,12 @@ def mix(
     inside = keyed.join(crossed, names).where("cell = cut").groupBy(*names, "key").agg(F.sum("n_tokens").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     order = Window.partitionBy(*names).orderBy("key")
     last = inside.withColumn("run", F.col("before") + F.sum("n").over(order)).where("run <= rest").groupBy(*names).agg(F.max("key").alias("last"))
-    cuts = materialize(plan.join(crossed.select(*names, "cut"), names, "left").join(last, names, "left").select(F.struct(*names).alias("__leaf"), "epochs", F.coalesce("last", "cut").alias("bound"), F.col("last").isNotNull().alias("closed")), "mix-cuts")
-
-    marked = docs.withColumn("leaf", leaf)
-    joined = marked.join(cuts, F.col("leaf") == F.col("__leaf"))
-    at = key(F.col("doc_id"), F.col("epochs"))
-    extra = F.when(F.col("bound").isNotNull() & ((at < F.col("bound")) | (F.col("closed") & (at == F.col("bound")))), 1).otherwise(0)
-    taken = joined.withColumn("__times", (F.col("epochs") + extra).cast("int")).where("__times > 0")
-    out = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    cuts = materialize(plan.join(crossed.select(*names, "cut"), names, "left").join(last, names, "left").select(F.struct(*names).alias("__leaf"), F.col("epochs").alias("__epochs"), F.coalesce("last", "cut").alias("__bound"), F.col("last").isNotNull().alias("__closed")), "mix-cuts")
+
+    joined = docs.withColumn("__own", leaf).join(cuts, F.col("__own") == F.col("__leaf"))
+    at = key(F.col("doc_id"), F.col("__epochs"))
+    extra = F.when(F.col("__bound").isNotNull() & ((at < F.col("__bound")) | (F.col("__closed") & (at == F.col("__bound")))), 1).otherwise(0)
+    taken = joined.withColumn("__times", (F.col("__epochs") + extra).cast("int")).where("__times > 0")
+    out = taken.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     keep = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("epoch", "n_tokens", "leaf")]
-    return out.select(*keep, tokens(F.col("text").cast("string")).alias("n_tokens"), "epoch", "leaf")
+    return out.select(*keep, tokens(F.col("text").cast("string")).alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__own").alias("leaf"))

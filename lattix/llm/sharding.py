@@ -134,5 +134,5 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, cell_rows:
     out = keyed.withColumn("shard", number(F.col("__h"), F.col("__id"))).withColumn("__cell", part(F.col("__h"))).withColumn("__cut", cut(F.col("shard"), F.col("__cell"), F.col("__id")))
     within = Window.partitionBy("shard", "__cell", "__cut").orderBy("__h", "__id")
     out = out.withColumn("__row", F.row_number().over(within))
-    joined = out.join(offsets.select(F.col("shard").alias("__s"), F.col("cell").alias("__c"), F.col("cut").alias("__k"), "offset"), (F.col("shard") == F.col("__s")) & (F.col("__cell") == F.col("__c")) & (F.col("__cut") == F.col("__k")))
-    return joined.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], "shard", (F.col("offset") + F.col("__row") - 1).alias("slot"))
+    joined = out.join(offsets.select(F.col("shard").alias("__s"), F.col("cell").alias("__c"), F.col("cut").alias("__k"), F.col("offset").alias("__offset")), (F.col("shard") == F.col("__s")) & (F.col("__cell") == F.col("__c")) & (F.col("__cut") == F.col("__k")))
+    return joined.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], "shard", (F.col("__offset") + F.col("__row") - 1).alias("slot"))

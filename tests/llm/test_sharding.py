@@ -52,9 +52,9 @@ def test_equal_texts_stay_together_unless_they_outweigh_a_shard(spark):
 
 def test_edges(spark):
     data = [(1, None), (1, ""), (None, "x"), (None, None), (2, "same"), (2, "same"), (2, "same"), (3, "y" * 100_000)]
-    docs = spark.createDataFrame([(i, t, 0, "k") for i, t in data], "doc_id long, text string, shard int, `a.b` string")
+    docs = spark.createDataFrame([(i, t, 0, "k", 1, 2, 3) for i, t in data], "doc_id long, text string, shard int, `a.b` string, offset int, h int, cell int")
     out = shard(docs, 4)
-    assert sorted(out.columns) == sorted(["doc_id", "text", "a.b", "shard", "slot"])
+    assert sorted(out.columns) == sorted(["doc_id", "text", "a.b", "offset", "h", "cell", "shard", "slot"])
     rows = out.collect()
     assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(data, key=str)
     verify(rows, 4, 0.01)
