@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints/lattix"
+#: Used only where the session names no shared folder, as in tests on one machine; emptied when Python ends.
+FALLBACK_DIR = f"/tmp/checkpoints/lattix-{os.getpid()}"
+atexit.register(shutil.rmtree, FALLBACK_DIR, ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
