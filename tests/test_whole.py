@@ -3,6 +3,7 @@
 import pytest
 
 from lattix import queries as engine
+from lattix.operators import graph
 
 
 @pytest.fixture
@@ -33,3 +34,29 @@ def test_components_links_parts_through_every_order(spark, tables):
         parent[b] = a
     got = {r.node: r.component for r in engine.QUERIES["components"](spark, d).collect()}
     assert got == {k: root(k) for k in parent}
+
+
+LINES = [(o, s) for o in range(1, 60) for s in {(o * 7) % 11, (o * o) % 11, (o * 5 + 3) % 11} if (o + s) % 3]
+
+
+def longest(pairs, n):
+    below = {i: {j for k, j in pairs if k == i} for i in range(n)}
+
+    def chain(i):
+        return max((1 + chain(j) for j in below[i]), default=0)
+
+    return {i: chain(i) for i in range(n)}
+
+
+def test_dependency_levels_reads_every_order(spark, tables):
+    d = tables(lineitem=(LINES, "l_orderkey bigint, l_suppkey bigint"), supplier=([(s,) for s in range(12)], "s_suppkey bigint"))
+    pairs = {(i, j) for o, i in LINES for q, j in LINES if o == q and j < i}
+    got = {r.i: r.level for r in engine.QUERIES["dependency_levels"](spark, d).collect()}
+    assert got == longest(pairs, 12)
+
+
+@pytest.mark.parametrize("limit", [0, None])
+def test_levels_on_the_driver_and_in_rounds(spark, limit):
+    pairs = [(i, j) for i in range(9) for j in range(i) if (i * j + i) % 3 == 1 or j == i - 4]
+    got = graph.levels(spark.createDataFrame(pairs, "i bigint, j bigint"), spark.range(9).withColumnRenamed("id", "i"), limit)
+    assert {r.i: r.level for r in got.collect()} == longest(pairs, 9)
