@@ -464,12 +464,12 @@ def components(spark, d):
 
 @query("""e AS (SELECT i, j FROM a WHERE i <> j) SELECT i AS a, j AS b, (SELECT count(*) FROM e s JOIN e t ON s.j = t.j WHERE s.i = q.i AND t.i = q.j) AS common FROM e q WHERE i < j AND i < 12""")
 def common_neighbours(spark, d):
-    return graph.affinity(graph.edges(D.part_graph(spark, d))).where("a < 12")
+    return graph.affinity(graph.edges(D.part_graph(spark, d)))
 
 
 @query(ORACLES["common_neighbours"].split("WITH RECURSIVE " + PARTS + ",")[1])
 def common_neighbours_words(spark, d):
-    return graph.affinity_bitmaps(graph.edges(D.part_graph(spark, d))).where("a < 12")
+    return graph.affinity_bitmaps(graph.edges(D.part_graph(spark, d)))
 
 
 @query("SELECT i, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, i) - 1 AS visit FROM a WHERE i <> j GROUP BY i")

@@ -60,3 +60,13 @@ def test_levels_on_the_driver_and_in_rounds(spark, limit):
     pairs = [(i, j) for i in range(9) for j in range(i) if (i * j + i) % 3 == 1 or j == i - 4]
     got = graph.levels(spark.createDataFrame(pairs, "i bigint, j bigint"), spark.range(9).withColumnRenamed("id", "i"), limit)
     assert {r.i: r.level for r in got.collect()} == longest(pairs, 9)
+
+
+@pytest.mark.parametrize("name", ["common_neighbours", "common_neighbours_words"])
+def test_common_neighbours_scores_every_edge(spark, tables, name):
+    lines = [(o, p) for o in range(30) for p in {o % 23, (o * o + 1) % 23, (o * 3 + 15) % 23, 22}]
+    d = tables(lineitem=(lines, "l_orderkey bigint, l_partkey bigint"), part=([(p,) for p in range(70)], "p_partkey bigint"))
+    near = {p: {r for o, q in lines if q == p for n, r in lines if n == o and r != p} for p in range(23)}
+    expected = {(a, b): len(near[a] & near[b]) for a in near for b in near[a] if a < b}
+    assert any(a >= 12 for a, _ in expected)
+    assert {(r.a, r.b): r.common for r in engine.QUERIES[name](spark, d).collect()} == expected
