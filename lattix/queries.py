@@ -612,8 +612,7 @@ def budget_blocks(spark, d):
 
 @query("SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2", parts=False)
 def matrix_market_round_trip(spark, d):
-    a = D.order_part(spark, d)
-    return _round_trip(spark, SparseMatrix(a.df.where("i % 10 = 0"), a.nrows, a.ncols))[0].df
+    return _round_trip(spark, D.order_part(spark, d))[0].df
 
 
 def _round_trip(spark: SparkSession, a: SparseMatrix):
@@ -631,8 +630,7 @@ def _round_trip(spark: SparkSession, a: SparseMatrix):
 def matrix_market_info(spark, d):
     from lattix.sources.matrix_market import info_df
 
-    a = D.order_part(spark, d)
-    return info_df(spark, _round_trip(spark, SparseMatrix(a.df.where("i % 10 = 0"), a.nrows, a.ncols))[1])
+    return info_df(spark, _round_trip(spark, D.order_part(spark, d))[1])
 
 
 @query("SELECT i, v FROM x")

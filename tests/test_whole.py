@@ -70,3 +70,14 @@ def test_common_neighbours_scores_every_edge(spark, tables, name):
     expected = {(a, b): len(near[a] & near[b]) for a in near for b in near[a] if a < b}
     assert any(a >= 12 for a, _ in expected)
     assert {(r.a, r.b): r.common for r in engine.QUERIES[name](spark, d).collect()} == expected
+
+
+def test_matrix_market_queries_write_every_entry(spark, tables):
+    lines = [(o, (o * 3) % 7, float(o % 5 + 1)) for o in range(1, 34)] + [(11, 5, 2.0), (20, 4, 3.0), (33, 1, 1.0)]
+    d = tables(lineitem=(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double"), orders=([(o,) for o in range(34)], "o_orderkey bigint"), part=([(p,) for p in range(7)], "p_partkey bigint"))
+    expected = {}
+    for o, p, q in lines:
+        expected[o, p] = expected.get((o, p), 0.0) + q
+    assert {(r.i, r.j): r.v for r in engine.QUERIES["matrix_market_round_trip"](spark, d).collect()} == expected
+    info = engine.QUERIES["matrix_market_info"](spark, d).first()
+    assert (info.nrows, info.ncols, info.input_entries, info.duplicates_combined) == (34, 7, 36, 36 - len(expected))
