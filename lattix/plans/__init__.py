@@ -1,5 +1,5 @@
 """Physical helpers: lineage cutting and session settings."""
 
-from lattix.plans.storage import materialize, release, shared_dir
+from lattix.plans.storage import clean, materialize, release, scratch_dir, shared_dir
 
-__all__ = ["materialize", "release", "shared_dir"]
+__all__ = ["clean", "materialize", "release", "scratch_dir", "shared_dir"]

@@ -9,17 +9,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine; emptied when Python ends.
+#: Used only on a local master whose session names no shared folder, as in tests; emptied when Python ends.
 FALLBACK_DIR = f"/tmp/checkpoints/lattix-{os.getpid()}"
 atexit.register(shutil.rmtree, FALLBACK_DIR, ignore_errors=True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can reach (``spark.checkpoint.dir``)."""
+    """The folder that every executor and the driver can reach (``spark.checkpoint.dir``).
+
+    A cluster has to name it: without it only a local master has a folder that all its tasks see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; :func:`clean` deletes it."""
+    return f"{shared_dir(spark)}/lattix-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the stored table.
 
@@ -27,18 +37,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     plan above them starts from a scan whose size Catalyst knows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def release(df: DataFrame | None) -> None:
-    """Delete the files of a table made by :func:`materialize`, once nothing reads it any more."""
-    path = getattr(df, "_stored_at", None)
-    if path is None:
-        return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by :func:`materialize`, once nothing reads them any more."""
+    for df in tables:
+        if (path := getattr(df, "_stored_at", None)) is not None:
+            _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored: its results have been read or written elsewhere."""
+    _delete(spark, scratch_dir(spark))

@@ -618,10 +618,10 @@ def matrix_market_round_trip(spark, d):
 def _round_trip(spark: SparkSession, a: SparseMatrix):
     import uuid
 
-    from lattix.plans.storage import shared_dir
+    from lattix.plans.storage import scratch_dir
     from lattix.sources import read_matrix_market, write_matrix_market
 
-    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/mtx-{uuid.uuid4().hex}"
     write_matrix_market(a, path)
     return read_matrix_market(spark, path)
 
@@ -637,11 +637,11 @@ def matrix_market_info(spark, d):
 def vector_file_round_trip(spark, d):
     import uuid
 
-    from lattix.plans.storage import shared_dir
+    from lattix.plans.storage import scratch_dir
     from lattix.sources import read_vector
 
     a = D.part_graph(spark, d)
-    path = f"{shared_dir(spark)}/vec-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/vec-{uuid.uuid4().hex}"
     _x(a).repartitionByRange("i").sortWithinPartitions("i").select(F.col("v").cast("string").alias("value")).write.text(path)
     return read_vector(spark, path, a.ncols)
 
