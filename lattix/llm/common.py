@@ -50,7 +50,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     total = labels.where(F.col(label).isNotNull()).count()
     kept = known.where(sampled(F.col("doc_id"), rows / max(total, 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("text", "y")
+    table = Numbered(docs)
+    return table.df.select(table["doc_id"].alias("doc_id"), table["text"].alias("text")).join(F.broadcast(kept), "doc_id").select("text", "y")
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, pa.Array]]:
@@ -71,28 +72,70 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -
         yield start, column.slice(start)
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+class Numbered:
+    """A table with its columns renamed k0, k1, ..., so that no name of its own can clash with another or with a helper's.
+
+    ``t[name]`` is the column of that name: the one spelt so, else the first that differs only in case.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.df = table.toDF(*[f"k{i}" for i in range(len(self.names))])
+
+    def at(self, name: str) -> str | None:
+        same = [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        return next((f"k{i}" for i in same if self.names[i] == name), f"k{same[0]}" if same else None)
+
+    def __getitem__(self, name: str) -> Column:
+        if (k := self.at(name)) is None:
+            raise KeyError(f"the table has no column {name}")
+        return F.col(k)
+
+    def kept(self, results: Iterable[str], only: Iterable[str] | None = None) -> list[Column]:
+        """The table's columns under their names (or ``only`` those), but for names, whatever their case, that results take."""
+        new = {r.lower() for r in results}
+        wanted = None if only is None else {self.at(c) for c in only}
+        return [F.col(f"k{i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in new and (wanted is None or f"k{i}" in wanted)]
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, which are unique in ``one``; its column ``count`` tells how many rows of ``many`` have the key.
+
+    A key above its share (one row in 2048 of all) is hot: its rows are dealt out by hash over as many parts as
+    it has shares, and its row of ``one`` is copied to each. Hot keys are 2048 at most, so they are
+    broadcast safely, and all copies together are no more than that again. The column ``count`` is dropped.
+    """
+    per = max(64, (one.agg(F.sum(count).alias("n")).first().n or 0) // 2048)
+    parts = F.ceil(F.col(count) / per).cast("int")
+    hot = one.where(F.col(count) > per).select(*keys, parts.alias("__parts"))
+    spread = F.xxhash64(*([c for c, t in many.dtypes if "map<" not in t and c not in keys] or keys))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(spread, F.col("__parts")).cast("int"))).drop("__parts")
+    copies = one.withColumn("__part", F.explode(F.when(F.col(count) > per, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop(count)
+    return dealt.join(copies, [*keys, "__part"], how).drop("__part")
 
 
-def attach(docs: DataFrame, make, fields: str, keep: list[str] | None = None, also: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def attach(docs: DataFrame, make, fields: str, keep: list[str] | None = None, also: tuple[str, ...] = (), text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """Columns ``keep`` (default all) of each row and the result columns ``fields`` (DDL), in one narrow stage.
 
-    ``make()`` runs once in each task and returns a function of (texts, also-columns) for one
-    slice, which gives one Arrow array per field. Rows stay where they are: nothing is shuffled
-    and no text leaves its task unless it is kept. A result replaces an input column of its name.
+    ``make()`` runs once in each task and returns a function of (texts, more columns) for one
+    slice, which gives one Arrow array per field. The further columns are ``also`` by name and the
+    values of ``extra``, which are made from the columns of :class:`Numbered`. Rows stay where they are: nothing is
+    shuffled and no text leaves its task unless it is kept. A result replaces input columns of its name in any case.
     """
-    new = T.StructType.fromDDL(fields)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
-    schema = T.StructType([docs.schema[c] for c in keep] + list(new))
-    source = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], *[quoted(c).alias(f"a{i}") for i, c in enumerate(also)], quoted(text).cast("string").alias("text"))
+    table, new = Numbered(docs), T.StructType.fromDDL(fields)
+    held = table.kept(new.names, keep)
+    more = [table[c] for c in also] + list((extra or {}).values())
+    source = table.df.select(*[c.alias(f"c{i}") for i, c in enumerate(held)], *[c.alias(f"a{i}") for i, c in enumerate(more)], table[text].cast("string").alias("text"))
+    names = table.df.select(*held).columns
+    schema = T.StructType(source.schema.fields[: len(held)] + [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(new)])
+    first, extras, labels = len(held), len(more), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            rows = batch.columns[: len(keep)]
+            rows = batch.columns[:first]
             for at, part in slices(batch.column(batch.num_columns - 1)):
-                more = [batch.column(len(keep) + i).slice(at, len(part)) for i in range(len(also))]
-                yield pa.RecordBatch.from_arrays([c.slice(at, len(part)) for c in rows] + list(kernel(part, *more)), names=schema.names)
+                beside = [batch.column(first + i).slice(at, len(part)) for i in range(extras)]
+                yield pa.RecordBatch.from_arrays([c.slice(at, len(part)) for c in rows] + list(kernel(part, *beside)), names=labels)
 
-    return map_arrow(source, run, schema)
+    return map_arrow(source, run, schema).toDF(*names, *new.names)

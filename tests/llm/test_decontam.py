@@ -56,11 +56,11 @@ HAND_DOCS = [
 ]
 
 
-@pytest.mark.parametrize("chars", [8 << 20, 40])
-def test_edges(spark, chars):
+@pytest.mark.parametrize("shingle", [5, 2, 1])
+def test_edges(spark, shingle):
     docs = spark.createDataFrame([(i, t, 5, "z") for i, t in HAND_DOCS], "doc_id long, text string, n_words int, `odd.name` string")
     items = spark.createDataFrame(HAND_ITEMS, "item_id long, text string")
-    found = decontaminate(docs, items, block_chars=chars)
+    found = decontaminate(docs, items, shingle=shingle)
     assert rows(found) == brute(HAND_DOCS, HAND_ITEMS)
     assert "odd.name" in found.columns and found.columns.count("n_words") == 1
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from test_decontam import brute as slow_contamination
+from test_decontam import words as slow_words
 from test_mixing import WORD, fill
 from test_sharding import verify
 from test_simhash import slow_classes, slow_fingerprint
@@ -42,9 +43,31 @@ def test_one_of_each_class_stays(stages):
 
 def test_contaminated_go(spark, stages):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    clean = [r[0] for r in slow_contamination([(r.doc_id, r.text) for r in stages[2]], items) if not r[5]]
+    whole = {tuple(w[s : s + 13]) for w in (slow_words(t) for _, t in items) for s in range(len(w) - 12)}
+
+    def leaks(text):
+        w = slow_words(text)
+        return any(tuple(w[s : s + 13]) in whole for s in range(len(w) - 12))
+
+    marked = slow_contamination([(r.doc_id, r.text) for r in stages[2]], items)
+    text = {r.doc_id: r.text for r in stages[2]}
+    clean = [r[0] for r in marked if not r[5] and not leaks(text[r[0]])]
     assert sorted(r.doc_id for r in stages[3]) == sorted(clean)
-    assert len(clean) < len(stages[2])
+    assert len(clean) < sum(not r[5] for r in marked)
+
+
+def test_passages_in_long_documents_go_and_clean_ones_stay(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards box with quiet vexed nymphs"
+    items = [(1, item), (2, "short one"), (3, "What is it?")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words, filler = item.split(), [f"w{k}" for k in range(5000)]
+    rows = [(1, " ".join([*filler, *words, *filler])), (2, " ".join([*filler, *words[2:15], *filler])), (3, " ".join([*words[:13], *filler])), (4, " ".join([*filler, *words[-13:]]))]
+    rows += [(5, " ".join([*filler, *words[:12], *filler, *words[5:]])), (6, " ".join([*filler, "what is it", "short one"])), (7, " ".join(filler)), (8, None), (9, "")]
+    rows += [(10, "what is it " + " ".join(filler[:10])), (11, " ".join(reversed(words)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 6, 7, 8, 9, 11]
 
 
 def test_mixture(stages):
