@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattix.llm import decontam, mixing, sharding, simhash, toxicity
-from lattix.plans.storage import materialize
+from lattix.plans.storage import materialize, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty lies in a window of a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontam.digest(found).where("not contaminated").select(*docs.columns)
+    """Documents without a whole window of ``decontam.WIDTH`` words of a benchmark item, however long they are.
+
+    Words of shorter items, which are common in clean text, tell only if they make up one word in twenty.
+    """
+    found = decontam.digest(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return found.where(f"not contaminated and longest_window < {decontam.WIDTH}").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
