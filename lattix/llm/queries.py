@@ -90,7 +90,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation from the perspective of each participant."""
     found = chat.perspectives(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return found.select("conv_id", "perspective", "piece", "n_turns", "text", mask.alias("mask"))
+    return found.select("conv_id", "perspective", "n_turns", "text", mask.alias("mask"))
 
 
 ORACLES["op6_line_dedup"] = """
@@ -158,20 +158,19 @@ SELECT doc_id, CAST(unnest(range(0, n)) AS INTEGER) AS epoch, domain, lang, sour
 """
 
 ORACLES["op10_chat"] = """
-WITH said AS (
-  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(coalesce(turn, -1) / 1024) AS BIGINT) AS piece FROM conversations
-), speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
 parts AS (
-  SELECT conv_id, perspective, piece, turn, role, text, role = perspective AS own,
+  SELECT conv_id, perspective, turn, role, text, role = perspective AS own,
     CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' || chr(10) END AS head,
     replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM said JOIN speakers USING (conv_id)
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_char FROM parts
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_char FROM parts
 )
-SELECT conv_id, perspective, piece, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CAST(CAST(at_char + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_char + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, piece
+SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg(CAST(CAST(at_char + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at_char + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, perspective
 """
 
 ORACLES["op9_decontaminate"] = r"""
