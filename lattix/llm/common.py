@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -97,6 +97,17 @@ class Numbered:
         wanted = None if only is None else {self.at(c) for c in only}
         return [F.col(f"k{i}").alias(c) for i, c in enumerate(self.names) if c.lower() not in new and (wanted is None or f"k{i}" in wanted)]
 
+    def plain(self, results: Iterable[str], only: Iterable[str] | None = None) -> tuple[list[Column], list[str], list[str]]:
+        """The columns of :meth:`kept` as h0, h1, ..., these names, and the names to return to."""
+        kept = self.kept(results, only)
+        short = [f"h{i}" for i in range(len(kept))]
+        return [c.alias(h) for c, h in zip(kept, short, strict=True)], short, self.df.select(*kept).columns
+
+    def shielded(self, *needed: str) -> DataFrame:
+        """The table with columns k0, k1, ..., but for the ``needed`` ones, which are called so."""
+        called = {self.at(n): n for n in needed if self.at(n)}
+        return self.df.toDF(*[called.get(c, c) for c in self.df.columns])
+
 
 def meet(many: DataFrame, one: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
     """Join on ``keys``, which are unique in ``one``; its column ``count`` tells how many rows of ``many`` have the key.

@@ -181,9 +181,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: l
     grams = {r.gram: (r.least, r.most) for r in windows.groupBy("gram").agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most")).collect()}
 
     results = ("n_words", "hit_spans", "item_ids", "longest_window")
-    held = table.kept(results, keep)
-    names, plain = table.df.select(*held).columns, [f"h{i}" for i in range(len(held))]
-    source = table.df.select(*[c.alias(h) for c, h in zip(held, plain, strict=True)], table["text"].alias("source_text"))
+    held, plain, names = table.plain(results, keep)
+    source = table.df.select(*held, table["text"].alias("source_text"))
     marked = materialize(attach(source, lambda: _finder(known, grams), _RUNS, plain, text="source_text"), "decontam-marked")
     loud = marked.where("text_key is not null")
     runs = materialize(loud.groupBy("text_key").agg(F.count("*").alias("times"), F.first("runs").alias("runs")).select("text_key", "times", F.inline("runs")), "decontam-runs")

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.plans.storage import materialize
+from lattix.llm.common import Numbered
+from lattix.plans.storage import materialize, release
 
 _LOW, _HIGH = -(1 << 63), 1 << 63
-#: Rows of a cell, the unit in which rows of a shard are ordered and numbered.
-CELL_ROWS = 20_000
+#: Rows of a cell, the unit in which rows of a shard are ordered and numbered (more in tables of over a
+#: billion rows, which have this many cells).
+CELL_ROWS, MOST_CELLS = 20_000, 50_000
 
 
 def text_bytes(text: Column) -> Column:
@@ -93,46 +95,38 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, probes: int = 256)
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (0 up to ``shards``) and ``slot`` (gapless from 0 in each shard).
 
-    Shards hold nearly equal bytes (:func:`text_bytes`). A null text counts as an empty one, a null
-    id sorts first, and rows equal in text and id get neighbouring slots in any order. With fewer
+    Shards hold nearly equal bytes (:func:`text_bytes`). Slots follow the order of (hash of the text, doc_id), but
+    for cells that few texts fill: their rows are dealt out by a hash of the row. A null text counts as an empty one, a null
+    id sorts first, and rows equal in text and id get any slots of their shard. With fewer
     rows than shards some shards are empty; an empty table gives no rows. Columns named shard or
-    slot are replaced.
+    slot, in any case, are replaced.
     """
-    docs = docs.drop("shard", "slot")
-    keyed = docs.withColumns({"__h": _order(F.col("text")), "__id": _id(F.col("doc_id"))})
-    keys = materialize(keyed.select(F.col("__h").alias("h"), F.col("__id").alias("id"), text_bytes(F.col("text")).alias("size")), "shard-keys")
+    table = Numbered(docs)
+    held, plain, names = table.plain(("shard", "slot"))
+    others = [F.col(c) for c, t in table.df.dtypes if "<" not in t and c != table.at("text")]
+    keyed = table.df.select(*held, _order(table["text"]).alias("h"), _id(table["doc_id"]).alias("id"), F.xxhash64(_order(table["text"]), *others).alias("z"), text_bytes(table["text"].cast("string")).alias("size"))
+    keys = materialize(keyed.select("h", "id", "z", "size"), "shard-keys")
     bounds = splitters(keys, shards, tolerance)
+    shard_of = F.lit(0)
+    for a, b in bounds:
+        below = F.lit(False) if a <= _LOW else F.lit(True) if a >= _HIGH else (F.col("h") < a) if b <= _LOW else (F.col("h") < a) | ((F.col("h") == a) & (F.col("id") <= b - 1))
+        shard_of = shard_of + F.when(below, 0).otherwise(1)
 
-    def number(h: Column, i: Column) -> Column:
-        out = F.lit(0)
-        for a, b in bounds:
-            below = F.lit(False) if a <= _LOW else F.lit(True) if a >= _HIGH else (h < a) if b <= _LOW else (h < a) | ((h == a) & (i <= b - 1))
-            out = out + F.when(below, 0).otherwise(1)
-        return out.cast("int")
-
+    # cells of at least a 50 000th of all rows: what is broadcast here has a fixed bound
     rows = keys.count()
-    bits = max(0, math.ceil(math.log2(max(rows, 1) / cell_rows)))
-
-    def part(h: Column) -> Column:
-        return F.shiftright(h, 64 - bits) if bits else F.lit(0).cast("long")
-
-    placed = keys.select(number(F.col("h"), F.col("id")).alias("shard"), part(F.col("h")).alias("cell"), F.col("id"))
-    # one text of many copies fills a cell: such cells are dealt out further, by id
-    full = placed.groupBy("shard", "cell").count().where(F.col("count") > 2 * cell_rows).collect()
-
-    def cut(s: Column, c: Column, i: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for r in full:
-            out = F.when((s == r["shard"]) & (c == r["cell"]), F.pmod(F.xxhash64(i), F.lit(-(-r["count"] // cell_rows)))).otherwise(out)
-        return out
+    per = max(cell_rows, rows // MOST_CELLS)
+    bits = max(0, math.ceil(math.log2(max(rows, 1) / per)))
+    placed = {"shard": shard_of.cast("int"), "cell": F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long")}
+    counts = keys.withColumns(placed).groupBy("shard", "cell").count()
+    full = materialize(counts.where(F.col("count") > 2 * per).select("shard", "cell", F.ceil(F.col("count") / per).alias("parts")), "shard-full")
 
-    from pyspark.sql import Window
+    def dealt(table: DataFrame) -> DataFrame:
+        return table.withColumns(placed).join(F.broadcast(full), ["shard", "cell"], "left").withColumn("cut", F.coalesce(F.pmod("z", "parts"), F.lit(0)))
 
-    counts = placed.withColumn("cut", cut(F.col("shard"), F.col("cell"), F.col("id"))).groupBy("shard", "cell", "cut").count()
     before = Window.partitionBy("shard").orderBy("cell", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt(keys).groupBy("shard", "cell", "cut").count()
     offsets = materialize(counts.select("shard", "cell", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")), "shard-offsets")
-    out = keyed.withColumn("shard", number(F.col("__h"), F.col("__id"))).withColumn("__cell", part(F.col("__h"))).withColumn("__cut", cut(F.col("shard"), F.col("__cell"), F.col("__id")))
-    within = Window.partitionBy("shard", "__cell", "__cut").orderBy("__h", "__id")
-    out = out.withColumn("__row", F.row_number().over(within))
-    joined = out.join(offsets.select(F.col("shard").alias("__s"), F.col("cell").alias("__c"), F.col("cut").alias("__k"), F.col("offset").alias("__offset")), (F.col("shard") == F.col("__s")) & (F.col("__cell") == F.col("__c")) & (F.col("__cut") == F.col("__k")))
-    return joined.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], "shard", (F.col("__offset") + F.col("__row") - 1).alias("slot"))
+    within = Window.partitionBy("shard", "cell", "cut").orderBy("h", "id")
+    out = dealt(keyed).withColumn("row", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "cell", "cut"])
+    release(keys)
+    return out.select(*plain, "shard", (F.col("offset") + F.col("row") - 1).alias("slot")).toDF(*names, "shard", "slot")

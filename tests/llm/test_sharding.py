@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.llm.sharding import shard
+from lattix.llm.sharding import shard, splitters
 
 
 def size(text):
@@ -62,3 +62,26 @@ def test_edges(spark):
     one = shard(spark.createDataFrame([(5, None)], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].slot == 0
     verify(shard(spark.createDataFrame([(9, "dup")] * 40, "doc_id long, text string"), 4, cell_rows=5).collect(), 1 + 3, 9)
+
+
+def test_many_hot_texts(spark):
+    rows = [(8 * k + c, f"hot text {k}") for k in range(3000) for c in range(8)]
+    placed = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 8, cell_rows=2).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(24_000))
+    verify(placed, 8, 0.01)
+
+
+def test_splitters_equal_a_sort(spark):
+    """Exact bytes below each splitter, from all rows in order: within tolerance, or at the edge of a row nearest the target."""
+    rows = [((k * 2654435761 % 997 - 500) << 54, k, 1 + k * k % 900) for k in range(2000)] + [(77, k, 40) for k in range(3000)]
+    found = splitters(spark.createDataFrame(rows, "h long, id long, size long").repartition(7), 6, 0.002)
+    ordered, total = sorted(rows), sum(r[2] for r in rows)
+    edges = [0]
+    for r in ordered:
+        edges.append(edges[-1] + r[2])
+    for k, (h, i) in enumerate(found, 1):
+        below = sum(r[2] for r in ordered if (r[0], r[1]) < (h, i))
+        target = total * k / 6
+        assert below in edges
+        assert abs(below - target) <= 0.002 * total / 6 or abs(below - target) == min(abs(e - target) for e in edges)
+    assert found == sorted(found)
