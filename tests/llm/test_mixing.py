@@ -3,8 +3,6 @@ import re
 from collections import defaultdict
 from fractions import Fraction
 
-from pyspark.sql import functions as F
-
 from lattix.llm.mixing import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,7 +51,7 @@ def brute(docs, weights, share, most, seed):
 
 def run(spark, docs, weights, share, most, seed=3):
     table = spark.createDataFrame([(*d, 5, 1, "x", 2) for d in docs], "doc_id long, text string, a string, b string, epoch int, epochs int, bound string, leaf int")
-    out = mix(table, {"top": F.col("a"), "low": F.col("b")}, weights, share, most, seed)
+    out = mix(table, {"top": lambda t: t["a"], "low": lambda t: t["b"]}, weights, share, most, seed)
     return sorted(((r.doc_id, r.epoch) for r in out.collect()), key=str)
 
 
