@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.plans.storage import materialize
+from lattix.llm.common import Numbered, meet
+from lattix.plans.storage import materialize, release
 
 LINES = 3
 
@@ -22,10 +23,15 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     lines. The first occurrence, by doc_id (null first), hash of the text and position, stays
     unless another repeat covers its lines. Documents of fewer lines than a window are unchanged.
     A null text stays null with 0 lines; an empty one has one empty line. Rows that repeat a
-    doc_id with its text count as one document and get the same result.
+    doc_id with its text count as one document and get the same result. Columns named like results, in any
+    case, are replaced.
     """
-    marked = docs.withColumn("__text", F.col("text").cast("string")).withColumn("__th", F.xxhash64("__text"))
-    lines = marked.where(F.col("__text").isNotNull()).select(F.col("doc_id").alias("d"), F.col("__th").alias("th"), F.split("__text", "\n", -1).alias("lines")).where(F.size("lines") >= width)
+    results = ("text", "n_lines", "n_removed")
+    table = Numbered(docs)
+    held, plain, names = table.plain(results)
+    whole = table["text"].cast("string")
+    marked = table.df.select(*held, table["doc_id"].alias("d"), F.xxhash64(whole).alias("th"), whole.alias("body"))
+    lines = marked.where("body is not null").select("d", "th", F.split("body", "\n", -1).alias("lines")).where(F.size("lines") >= width)
     window = F.transform(
         F.sequence(F.lit(0), F.size("lines") - width),
         lambda i: F.struct(
@@ -35,14 +41,18 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
         ),
     )
     windows = materialize(lines.select("d", "th", F.explode(window).alias("w")).select("d", "th", "w.pos", "w.a", "w.b"), "line-windows")
-    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = windows.join(firsts, ["a", "b"]).where(~F.struct("d", "th", "pos").eqNullSafe(F.col("first")))
-    cover = later.groupBy("d", "th").agg(F.collect_set("pos").alias("at")).select(F.col("d").alias("__d"), F.col("th").alias("__t"), F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1)))).alias("__covered"))
-    joined = marked.join(cover, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    split = F.split("__text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
-    out = joined.withColumn("__lines", split).withColumn("__kept", F.when(F.col("__covered").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")).otherwise(F.col("__text")))
-    results = {"text": F.col("__kept"), "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__covered"), F.lit(0)).cast("long")}
-    results["n_lines"] = F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    results["n_removed"] = F.when(F.col("__covered").isNull(), 0).otherwise(F.size("__covered")).cast("long")
-    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in results], *[e.alias(k) for k, e in results.items()])
+    firsts = materialize(windows.groupBy("a", "b").agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
+    later = meet(windows, firsts, ["a", "b"], "n").where(~F.struct("d", "th", "pos").eqNullSafe(F.col("first")))
+    span = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1))))
+    cover = materialize(later.groupBy("d", "th").agg(F.collect_set("pos").alias("at")).select(F.col("d").alias("own"), F.col("th").alias("own_th"), span.alias("covered")), "line-covered")
+    release(windows, firsts)
+    joined = marked.join(cover, F.col("d").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")), "left").withColumn("lines", F.split("body", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    out = joined.select(
+        *plain,
+        F.when(F.col("covered").isNull(), F.col("body")).otherwise(left).alias("text"),
+        F.when(F.col("body").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
+    )
+    return out.toDF(*names, *results)
