@@ -10,6 +10,7 @@ share J + (1 - J) / 2**BITS of bins agrees by expectation, which :func:`likeness
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import SLICE_BYTES, map_arrow
+from lattix.llm.common import SLICE_BYTES, Numbered, map_arrow
 from lattix.llm.text import Words, mix
 
 BINS, BITS, SHINGLE = 256, 4, 5
 _SHIFT = np.uint64(64 - (BINS - 1).bit_length())
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PROBES = 4096
+_LEAST = -(1 << 63)
 
 
 def _probe(attempt: int) -> np.ndarray:
@@ -72,43 +74,67 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a[:, 0] == 255) != (b[:, 0] == 255), 0.0, np.where(a[:, 0] == 255, 1.0, est))
 
 
-def _ranges(docs: DataFrame, rows_per_range: int, most_ranges: int) -> list[int]:
-    """Ascending doc_ids, each the first of a range; the smallest id leads."""
-    count = docs.count()
-    parts = min(most_ranges, max(1, count // rows_per_range))
-    cuts = docs.stat.approxQuantile("doc_id", [k / parts for k in range(parts)], 0.2 / parts if parts > 1 else 0.0) if count else []
-    low = docs.agg(F.min("doc_id").alias("m")).first().m
-    return sorted({low, *(int(c) for c in cuts)} - {None})
+def _heads(rows: DataFrame, rows_per_range: int, most_ranges: int) -> list[tuple[int, int]]:
+    """Ascending (id, hash of the text), each that of the first row of a range.
+
+    Cuts are at about even shares of the ids, and within an id of more rows than a range at even steps of the
+    hash; then the exact least row of every range is found. There are at most some ``2 * most_ranges``.
+    """
+    count = rows.count()
+    if not count:
+        return []
+    per = max(rows_per_range, count // most_ranges)
+    parts = max(1, count // per)
+    near = rows.stat.approxQuantile("id", [k / parts for k in range(parts)], 0.2 / parts if parts > 1 else 0.0)
+    cuts = {(min(max(int(c), _LEAST), (1 << 63) - 1), _LEAST) for c in near} | {(_LEAST, _LEAST)}
+    for r in rows.groupBy("id").count().where(F.col("count") > 2 * per).collect():
+        own = r["count"] // per
+        cuts |= {(r.id, _LEAST + (k << 64) // own) for k in range(own)}
+    found = rows.groupBy(_rank(sorted(cuts)).alias("range")).agg(F.min(F.struct("id", "th")).alias("m")).collect()
+    return sorted((r.m.id, r.m.th) for r in found)
 
 
 def successors(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 20_000) -> tuple[DataFrame, int]:
     """Rows ``(range, wrap, doc_id, text, guest)`` such that each range, in order, holds its documents and the next one.
 
-    One exchange by range of doc_id. The first document of a range also goes, as a guest, to the
+    One exchange by range of (doc_id, hash of the text). The first document of a range also goes, as a guest, to the
     range before it; the very first goes to the last range, behind all others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    heads = _ranges(rows.select("doc_id").where("doc_id is not null"), rows_per_range, most_ranges)
-    nulls = rows.where("doc_id is null").limit(1).count() > 0
+    table = Numbered(docs)
+    rows = table.df.select(table["doc_id"].cast("long").alias("doc_id"), F.coalesce(table["text"].cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(_LEAST)), "th": F.xxhash64("text")})
+    heads = _heads(rows.select("id", "th"), rows_per_range, most_ranges)
     last = max(len(heads) - 1, 0)
-    bounds = F.array(*[F.lit(h).cast("long") for h in heads]) if heads else F.array().cast("array<long>")
-    rows = rows.withColumn("home", F.greatest(F.lit(0), _rank(bounds, F.col("doc_id"), len(heads)) - 1))
     home = F.col("home")
     own = F.struct(home.alias("range"), F.lit(0).alias("wrap"), F.lit(False).alias("guest"))
     guests = []
     if heads:
-        is_head = (home > 0) & (F.get(bounds, home) == F.col("doc_id"))
-        guests.append(F.when(is_head, F.struct((home - 1).alias("range"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))))
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == (heads[0] if heads else 0)
-    guests.append(F.when(first, F.struct(F.lit(last).alias("range"), F.lit(1).alias("wrap"), F.lit(True).alias("guest"))))
-    spread = rows.withColumn("x", F.explode(F.filter(F.array(own, *guests), lambda x: x.isNotNull()))).select("x.range", "x.wrap", "doc_id", "text", "x.guest")
-    return spread.repartition(last + 1, "range").sortWithinPartitions("range", "wrap", F.asc_nulls_first("doc_id"), "guest", "text"), last
+        ids, hashes = _longs([h[0] for h in heads]), _longs([h[1] for h in heads])
+        is_head = (F.get(ids, home) == F.col("id")) & (F.get(hashes, home) == F.col("th"))
+        guests.append(F.when(is_head & (home > 0), F.struct((home - 1).alias("range"), F.lit(0).alias("wrap"), F.lit(True).alias("guest"))))
+        guests.append(F.when(is_head & (home == 0), F.struct(F.lit(last).alias("range"), F.lit(1).alias("wrap"), F.lit(True).alias("guest"))))
+    placed = rows.withColumn("home", F.greatest(F.lit(0), _rank(heads) - 1))
+    spread = placed.withColumn("x", F.explode(F.filter(F.array(own, *guests), lambda x: x.isNotNull()))).select("x.range", "x.wrap", "doc_id", "text", "x.guest", "id", "th")
+    # of equal rows at a head each is a guest; the first completes the range and the others are passed over
+    ordered = spread.repartition(last + 1, "range").sortWithinPartitions("range", "wrap", "id", "th", "guest", F.asc_nulls_first("doc_id"), "text")
+    return ordered.select("range", "wrap", "doc_id", "text", "guest"), last
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array, one literal of the plan however many values it has."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _rank(bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending (id, hash) pairs are at most the row's own, by binary search."""
+    n = len(bounds)
+    ids, hashes = _longs([b[0] for b in bounds]), _longs([b[1] for b in bounds])
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
 
+    def below(at: Column) -> Column:
+        return (F.get(ids, at) < F.col("id")) | ((F.get(ids, at) == F.col("id")) & (F.get(hashes, at) <= F.col("th")))
 
-def _rank(bounds: Column, value: Column, n: int) -> Column:
-    """How many of n ascending bounds are at most ``value``, by binary search; 0 for null."""
-    strides = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
-    return F.aggregate(strides, F.lit(0), lambda found, step: F.when((found + step <= n) & (F.get(bounds, found + step - 1) <= value), found + step).otherwise(found))
+    return F.aggregate(strides, F.lit(0), lambda found, step: F.when((found + step <= n) & below(found + step - 1), found + step).otherwise(found))
 
 
 def fingerprint(docs: DataFrame, rows_per_range: int = 2048) -> DataFrame:
@@ -117,7 +143,7 @@ def fingerprint(docs: DataFrame, rows_per_range: int = 2048) -> DataFrame:
     The next document is the one with the next higher doc_id; after the last comes the first.
     The edited text has the last n_chars // 4 code points replaced by as many first ones of the
     next document (or all). A null text is an empty one. Null ids come before all others; rows
-    that repeat an id follow each other in the order of their texts. A single row is its own
+    that repeat an id follow each other in the order of a hash of their texts (XXH64, signed). A single row is its own
     next. Equal texts have equal fingerprints. An empty table gives no rows.
     """
     placed, _ = successors(docs, rows_per_range)
