@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, held_out, map_arrow, sampled, slices
+from lattix.llm.common import Numbered, attach, held_out, map_arrow, slices
+from lattix.plans.storage import materialize, release
 
 SIZES = (3, 4)
 #: Parameters of the model: rows fitted on (in all, shared out by language), most n-grams kept for a
@@ -118,22 +119,26 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn from rows that have an id, a text and a lang and are not held out.
 
     At most about ``rows`` of them in all, an equal share for each language, chosen by a hash of
-    the id. The n-grams in most documents of the sample make up a language's filter.
+    the id. The n-grams in most documents of the sample make up a language's filter, ``GRAMS`` at most; of those
+    in as many documents as the last one, a hash chooses. Two documents must share an n-gram, unless
+    the language has three or fewer.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    table = Numbered(docs)
+    known = table.df.select(table["doc_id"].alias("doc_id"), table["lang"].cast("string").alias("lang"), table["text"].cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     prior = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(prior)
     if not langs:
         return Model({}, {})
     part = rows / len(langs)
-    chosen = F.lit(False)
-    for lang in langs:
-        chosen = chosen | ((F.col("lang") == lang) & sampled(F.col("doc_id"), part / prior[lang]))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(x, k, part / prior[x]) for k, x in enumerate(langs)], "lang string, number int, share double")
+    pick = (F.col("share") >= 1) | (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 30)) < F.floor(F.col("share") * (1 << 30)))
+    chosen = known.join(F.broadcast(shares), "lang").where(pick).select("number", "text")
     number = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at, piece in slices(batch.column(1), 1 << 20):
                 found, _ = grams(piece.to_pylist())
                 owner, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -145,29 +150,32 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
                     value, n = np.unique(gram[lang == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(value.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = map_arrow(known.where(chosen).select("lang", F.col("text").cast("string").alias("text")), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_arrow(chosen, run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # texts quote other languages: an n-gram belongs to those where it is nearly as common as where it is most common
-    size = F.lit(1.0)
-    for k, lang in enumerate(langs):
-        size = F.when(F.col("lang") == k, float(min(part, prior[lang]))).otherwise(size)
-    rate = F.col("n") / size
-    counts = counts.withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= RELATIVE * F.col("most")).select("lang", "gram", "n").persist()
+    sizes = {k: float(min(part, prior[x])) for k, x in enumerate(langs)}
+    size = F.broadcast(spark.createDataFrame(list(sizes.items()), "lang int, size double"))
+    rate = F.col("n") / F.col("size")
+    common = counts.join(size, "lang").withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= RELATIVE * F.col("most"))
+    counts = materialize(common.select("lang", "gram", "n"), "language-grams")
     above: dict[int, list[tuple[int, int]]] = {}
     for r in counts.groupBy("lang", "n").count().collect():
         above.setdefault(r.lang, []).append((r.n, r["count"]))
-    least = {}
+    bounds = []  # language, least count kept whole, and the share kept of the count below that
     for k, rows_of in above.items():
-        held, least[k] = 0, max(2, round(GRAM_SHARE * min(part, prior[langs[k]])))
+        floor = max(2 if sizes[k] > 3 else 1, round(GRAM_SHARE * sizes[k]))
+        held, least, share = 0, floor, 0.0
         for n, c in sorted(rows_of, reverse=True):
-            held += c
-            if held > GRAMS:
-                least[k] = max(least[k], n + 1)
+            if n < floor:
+                break
+            if held + c > GRAMS:
+                least, share = n + 1, (GRAMS - held) / c
                 break
-    wanted = F.lit(False)
-    for k, n in least.items():
-        wanted = wanted | ((F.col("lang") == k) & (F.col("n") >= n))
-    got = counts.where(wanted).select("lang", "gram").toArrow()
-    counts.unpersist()
+            held += c
+        bounds.append((k, least, share))
+    wanted = counts.join(F.broadcast(spark.createDataFrame([(k, n, float(s)) for k, n, s in bounds], "lang int, least long, share double")), "lang")
+    tie = (F.col("n") == F.col("least") - 1) & (F.pmod(F.xxhash64("gram"), F.lit(1 << 30)) < F.floor(F.col("share") * (1 << 30)))
+    got = wanted.where((F.col("n") >= F.col("least")) | tie).select("lang", "gram").toArrow()
+    release(counts)
     lang, gram = got.column("lang").to_numpy(), got.column("gram").to_numpy().view(np.uint64)
     return Model({x: gram[lang == number[x]] for x in langs}, prior)
 

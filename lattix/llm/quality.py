@@ -12,15 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, labelled_sample, map_arrow, slices
+from lattix.llm.common import Numbered, attach, labelled_sample, map_arrow, sampled, slices
 from lattix.llm.text import Words
+from lattix.plans.storage import materialize, release
 
 THRESHOLD = 0.7
 #: Parameters of the model: expected labelled rows fitted on, hashed word features, rank, passes.
 FIT_ROWS, WORD_BITS, RANK, EPOCHS, BATCH, RATE = 6_000, 15, 8, 8, 64, 0.06
+#: Most feature values (in expectation) that the sample brings to the driver, 8 bytes each: long texts make a smaller sample.
+FIT_VALUES = 10_000_000
 STATS = (
     "length", "words", "word length", "upper", "digits", "punctuation", "blanks", "line breaks", "above ASCII",
     "distinct words", "distinct neighbours", "top word", "longest word", "distinct lines", "letters",
@@ -159,23 +162,24 @@ class Machine:
                 self.bias -= RATE * db / np.sqrt(gb)
 
 
-def _meta(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """The metadata columns m0, m1, ... beside all others; one that is missing, null or no number counts as 0."""
-    return docs.withColumns({f"__m{k}": F.coalesce(F.expr(f"try_cast(`{c}` AS double)"), F.lit(0.0)) if c in docs.columns else F.lit(0.0) for k, c in enumerate(names)})
+def _meta(table: Numbered, names: tuple[str, ...]) -> dict[str, Column]:
+    """The metadata as m0, m1, ...; a column that is missing, null or no number counts as 0."""
+    return {f"m{k}": F.coalesce(table[c].try_cast("double"), F.lit(0.0)) if table.at(c) else F.lit(0.0) for k, c in enumerate(names)}
 
 
 METADATA = ("n_chars",)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, metadata: tuple[str, ...] = METADATA) -> Machine:
-    """Train on at most about ``rows`` labelled rows that are not held out.
+    """Train on at most about ``rows`` labelled rows that are not held out, and as many of them as ``FIT_VALUES`` allows.
 
     The sample's features alone are brought to the driver. Without labelled rows all texts
     score one half.
     """
-    wide = _meta(docs, metadata)
-    held = [f"__m{k}" for k in range(len(metadata))]
-    packed = wide.select("doc_id", F.struct(F.col("text").cast("string").alias("t"), *held).alias("text"))
+    table = Numbered(docs)
+    meta = _meta(table, metadata)
+    held = list(meta)
+    packed = table.df.select(table["doc_id"].alias("doc_id"), F.struct(table["text"].cast("string").alias("t"), *[c.alias(m) for m, c in meta.items()]).alias("text"))
     sample = labelled_sample(packed, labels, "quality", rows).select(F.coalesce("text.t", F.lit("")).alias("t"), *[f"text.{m}" for m in held], "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, metadata: tupl
                 order = np.add.reduceat(np.append(feature * 7919 + (value * 1e6).astype(np.int64), 0), bounds[:-1]) if len(part) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*lists, batch.column(1 + len(held)).slice(at, len(part)), pa.array(order.astype(np.int64))], ["f", "x", "y", "o"])
 
-    got = map_arrow(sample, run, "f array<int>, x array<float>, y int, o long").toArrow()
+    made = materialize(map_arrow(sample, run, "f array<int>, x array<float>, y int, o long"), "quality-fit")
+    values = made.agg(F.coalesce(F.sum(F.size("f")), F.lit(0)).alias("n")).first().n
+    got = made.where(sampled(F.col("o"), FIT_VALUES / max(values, 1))).toArrow()
+    release(made)
     width = (1 << WORD_BITS) + (len(STATS) + len(metadata)) * (STEPS + 1)
     machine = Machine(width)
     if got.num_rows:
@@ -207,8 +214,6 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, meta
     metadata count as 0. Rows are independent, so repeated ones get equal answers. An empty
     table gives no rows.
     """
-    names = tuple(f"__m{k}" for k in range(len(metadata)))
-    keep = list(docs.columns) if keep is None else keep
 
     def make():
         def kernel(part: pa.Array, *meta: pa.Array) -> list[pa.Array]:
@@ -217,4 +222,4 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None, meta
 
         return kernel
 
-    return attach(_meta(docs, metadata), make, "score double, predicted int", keep, names)
+    return attach(docs, make, "score double, predicted int", keep, extra=_meta(Numbered(docs), metadata))

@@ -17,15 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattix.llm.common import attach, map_arrow, slices
+from lattix.llm.common import Numbered, attach, map_arrow, slices
 from lattix.operators.components import connected_components
-from lattix.plans.storage import materialize
+from lattix.plans.storage import materialize, release
 
 #: Largest group of equal variants that is compared pair by pair. Members of larger groups are
 #: linked through two-wildcard (for d = 3: three-wildcard) variants, which is exact as well.
 GROUP = 48
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -59,7 +58,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     out[at + k] = simhash(value.as_buffer().to_pybytes() if value.is_valid else b"", width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    table = Numbered(docs)
+    return map_arrow(table.df.select(table["doc_id"].cast("long").alias("doc_id"), table["text"].cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -162,7 +162,8 @@ def links(fps: DataFrame, distance: int = 2, group: int = GROUP) -> DataFrame:
     go through variants with ``distance`` wildcards: each such group has at most 2**distance
     members, all within the distance, and is linked to its smallest member.
     """
-    sorted_ = variants(fps, distance).repartition("slot", "part").sortWithinPartitions("slot", "part")
+    spread = fps.repartition(fps.sparkSession.sparkContext.defaultParallelism)  # 64 rows are made of each, so in more tasks than its few files give
+    sorted_ = variants(spread, distance).repartition("slot", "part").sortWithinPartitions("slot", "part")
     found = materialize(map_arrow(sorted_, _match(distance, group), "a long, b long"), "simhash-links")
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     masks = F.array(*[F.lit(m) for m in _wild_masks(distance)]) if distance <= 2 else _masks3()
@@ -189,11 +190,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2, group: i
     """
     marked = materialize(fingerprints(docs, width), "simhash-fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    found = connected_components(links(nodes.select("fp"), distance, group))
+    pairs = materialize(links(nodes.select("fp"), distance, group), "simhash-pairs")
+    found = connected_components(pairs)
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = nodes.join(linked.join(least, "component").select("fp", "component", "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("component", "fp").alias("class_fp"))
     classes = materialize(classes, "simhash-named")
+    release(pairs, nodes)
     # fingerprints of many copies meet their rows by broadcast, the others by exchange. Those above one row in
     # ten thousand are fewer than ten thousand, however large the table
     often = max(marked.count() // 10_000, 500)
@@ -209,12 +212,14 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     Of rows that repeat that id one stays. A class without any id keeps one of its rows. The text
     moves once, to meet the ids that stay.
     """
+    table = Numbered(docs)
+    docs = table.shielded("doc_id", "text")
     found = materialize(near_duplicates(docs, width, distance), "simhash-classes")
     stay = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     nameless = found.where("component_id is null").select(F.col("fp").alias("__nameless"), F.col("class_fp").alias("__class")).distinct()
     if not nameless.limit(1).count():
-        return kept
+        return kept.toDF(*table.names)
     lost = docs.where("doc_id is null")
     marked = attach(lost, lambda: lambda part: [pa.array([_signed(simhash(v.as_buffer().to_pybytes(), width)) for v in part], pa.int64())], "__fp long")
-    return kept.unionByName(marked.join(nameless, F.col("__fp") == F.col("__nameless")).dropDuplicates(["__class"]).select(*docs.columns))
+    return kept.unionByName(marked.join(nameless, F.col("__fp") == F.col("__nameless")).dropDuplicates(["__class"]).select(*docs.columns)).toDF(*table.names)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattix.llm.common import FIT_ROWS, attach, labelled_sample, map_arrow, slices
-from lattix.plans.storage import materialize
+from lattix.plans.storage import materialize, release
 
 THRESHOLD = 0.3
 #: Tokens on each side that make up a hit's window.
@@ -27,6 +27,8 @@ WINDOW = 12
 #: A term needs this log-likelihood ratio and must be in this many texts. Its evidence (the negative log of
 #: a tail probability) must exceed the log of the number of words tried, so chance adds hardly a term.
 LEAST_RATIO, LEAST_TEXTS = 1.5, 4
+#: States that an automaton holds at most between two words (some 100 MB).
+MOST_STATES = 100_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¡¿"
 _QUOTES = set('"“”„«»')
 #: Words that report what others say, and words that address someone.
@@ -41,10 +43,13 @@ def edits_allowed(length: int) -> int:
 
 
 class Automaton:
-    """Lazy product of a lexicon trie and the Levenshtein automata of its terms."""
+    """Lazy product of a lexicon trie and the Levenshtein automata of its terms.
 
-    def __init__(self, terms: list[str]):
-        self.terms = terms
+    Once more than ``most`` states have been made, all are forgotten and made anew as they are met.
+    """
+
+    def __init__(self, terms: list[str], most: int = MOST_STATES):
+        self.terms, self.most = terms, most
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.reach: list[int] = [0]  # the most edits that any term below a node allows
@@ -61,6 +66,9 @@ class Automaton:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node] = number
         self.alphabet = frozenset(ch for c in self.child for ch in c)
+        self._forget()
+
+    def _forget(self) -> None:
         self.number: dict[tuple, int] = {(): 0}
         self.states: list[tuple] = [()]
         self.steps: list[dict[str, int]] = [{}]
@@ -108,6 +116,8 @@ class Automaton:
         return self._accept(state)
 
     def _slow(self, word: str) -> tuple[int, int] | None:
+        if len(self.states) > self.most:
+            self._forget()
         state = self.start
         for ch in word:
             ch = ch if ch in self.alphabet else "\0"
@@ -209,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 seen: dict[str, list[int]] = {}
                 for k, text in enumerate(part.to_pylist()):
                     for w in {t.strip(_EDGE).lower() for t in set(text.split())}:
-                        if 3 <= len(w) <= 40:
+                        if w:
                             seen.setdefault(w, [0, 0])[ys[at + k]] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["w", "p", "n"])
 
@@ -219,10 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         n, k = F.col("p") + F.col("n"), F.col("p")
         tail = k * F.log(k / n / rate) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - rate))).otherwise(0.0)
         ratio = F.log((k + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-        tried = map_arrow(sample, words, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(n >= LEAST_TEXTS).persist()
+        tried = materialize(map_arrow(sample, words, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(n >= LEAST_TEXTS), "toxicity-words")
         least = math.log(max(tried.count(), 1)) + 0.5
         kept = tried.where("p > 0").where((k / n > rate) & (tail >= least) & (ratio >= LEAST_RATIO)).select("w", "p", "n", ratio.alias("ratio")).collect()
-        tried.unpersist()
+        release(tried)
         kept.sort(key=lambda r: r.w)
         terms, exact, counts = [r.w for r in kept], np.array([r.ratio for r in kept]), np.array([(r.p, r.n) for r in kept], float).reshape(-1, 2)
     found = []
@@ -240,11 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                         key = (term, int(edits > 0))
                         old = best.get(key, (0.0, 0))
                         best[key] = (max(old[0], weight), old[1] + 1)
-                    out.append((ys[at + k], n, [{"term": t, "fuzzy": e, "weight": w, "times": c} for (t, e), (w, c) in best.items()]))
+                    out.append((ys[at + k], n, [{"term": t, "fuzzy": e, "weight": w, "times": c} for (t, e), (w, c) in sorted(best.items())]))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.struct([("term", pa.int32()), ("fuzzy", pa.int32()), ("weight", pa.float64()), ("times", pa.int32())])))], ["y", "n", "hits"])
 
     if terms:
         found = map_arrow(sample, scan, "y int, n long, hits array<struct<term:int,fuzzy:int,weight:double,times:int>>").toArrow().to_pylist()
+        found.sort(key=lambda r: (r["y"], r["n"], [tuple(h.values()) for h in r["hits"]]))  # sums don't hang on how rows are dealt out
     seen = np.zeros((len(terms), 2))
     for r in found:
         own = {h["term"] for h in r["hits"] if not h["fuzzy"]}
@@ -254,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     # misspellings are held to be as telling as their terms (with a twentieth of the terms' counts) until texts show otherwise
     shown = seen + np.column_stack([0.05 * (counts[:, 1] + 0.5), 0.05 * (counts[:, 0] + 0.5)]) if terms else seen
     fuzzy = np.clip(np.log(shown[:, 1] / (pos + 1)) - np.log(shown[:, 0] / (neg + 1)), 0, 0.9 * exact) if terms else exact
+    release(sample)
     model = Model(terms, exact, fuzzy, np.zeros(4))
     if found:
         x = np.array([model.features([(0, h["term"], h["fuzzy"], h["weight"]) for h in r["hits"] for _ in range(h["times"])], r["n"]) for r in found])
