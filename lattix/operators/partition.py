@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattix.schema import InvalidArgument, SparseMatrix
 
+#: Blocks that a budget is dealt out over, 24 bytes each on the driver.
+MOST_BLOCKS = 4_000_000
+
 
 def balanced(n: int, ranks: int) -> list[tuple[int, int, int]]:
     """``(rank, lo, hi)``: contiguous ranges, the first ``n mod ranks`` one row larger."""
@@ -162,13 +167,23 @@ def block_coupling(a: SparseMatrix, r: DataFrame, width: int) -> DataFrame:
 def budget_blocks(scores: DataFrame, budget: int) -> DataFrame:
     """``(block, size, score, taken)``: greedy by score, then index; a block that doesn't fit is skipped.
 
-    An ordered fold over one row for each block: blocks are far fewer than rows.
+    Blocks are far fewer than rows: their scores alone, at most :data:`MOST_BLOCKS`, visit the driver.
     """
-    packed = scores.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "block", "size"))).alias("all"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fold = F.aggregate("all", zero, lambda acc, x: F.when(acc["used"] + x["size"] <= budget, F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["taken"], F.array(x["block"].cast("bigint"))).alias("taken"))).otherwise(acc))
-    taken = packed.select(F.explode(fold["taken"]).alias("block"))
-    return scores.join(taken.withColumn("taken", F.lit(True)), "block", "left").select("block", "size", "score", F.coalesce("taken", F.lit(False)).alias("taken"))
+    got = scores.select("block", "size", "score").limit(MOST_BLOCKS + 1).toArrow()
+    if got.num_rows > MOST_BLOCKS:
+        raise InvalidArgument(f"a budget is dealt out over at most {MOST_BLOCKS} blocks")
+    block, size, score = (got.column(c).to_numpy() for c in ("block", "size", "score"))
+    order = np.lexsort((block, -score))
+    taken, left = [], budget
+    while len(order):  # all that fit in a row are taken at once, then all that never will fit go
+        upto = int(np.searchsorted(np.cumsum(size[order]), left, "right"))
+        taken.append(block[order[:upto]])
+        left -= int(size[order[:upto]].sum())
+        order = order[upto:]
+        order = order[size[order] <= left]
+    chosen = np.concatenate(taken) if taken else np.zeros(0, np.int64)
+    table = scores.sparkSession.createDataFrame(pa.table({"block": chosen.astype(np.int64), "taken": np.ones(len(chosen), bool)}))
+    return scores.join(table, "block", "left").select("block", "size", "score", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def field_aligned(layout: DataFrame, n: int, ranks: int) -> DataFrame:
