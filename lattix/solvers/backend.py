@@ -113,6 +113,8 @@ class BlockedMatrix:
             for batch in batches:
                 for row in batch.to_pylist():
                     i, j, v = np.frombuffer(row["i"], np.int64), np.frombuffer(row["j"], np.int64), np.frombuffer(row["v"], np.float64)
+                    if not len(i):
+                        continue
                     lo = int(i.min())
                     y = np.bincount(i - lo, v * full[j])
                     yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([y.tobytes()], pa.binary())], ["lo", "y"])
@@ -134,6 +136,12 @@ class BlockedMatrix:
         return to_array(self.packed.mapInArrow(own, "i long, v double"), self.nrows)
 
 
+def product_of(a: SparseMatrix) -> LocalMatrix | BlockedMatrix:
+    """The product with arrays: on the driver if the stored entries allow it, else in blocks."""
+    few = a.df.limit(LOCAL_NNZ + 1).count() <= LOCAL_NNZ
+    return LocalMatrix.collect(a) if few else BlockedMatrix(a)
+
+
 def to_array(x: DataFrame, n: int) -> np.ndarray:
     """A vector table of a known, bounded size as an array; absent indices are 0."""
     got = x.groupBy("i").agg(F.sum("v").alias("v")).toArrow()

@@ -228,6 +228,62 @@ def fgmres(a: Product, b: np.ndarray, m=None, x: np.ndarray | None = None, optio
     return x, Outcome(Status.CONVERGED if norm <= target else Status.MAX_ITERATIONS, used, first, norm), restart
 
 
+def fgmres_tables(a: SparseMatrix, b: DataFrame, m=None, options: SolverOptions = SolverOptions(), restart: int = 10) -> tuple[DataFrame, Outcome]:
+    """Flexible GMRES with the basis in one table ``(i, x, r, v0, v1, ..., z0, z1, ...)``, stored after each step.
+
+    A step orthogonalises twice by classical Gram-Schmidt, which needs one pass over the table for all
+    products with the basis at once; the driver holds the small Hessenberg matrix and scalars only.
+    """
+    m, n = m or Identity(), a.nrows
+
+    def total(c):
+        return F.coalesce(F.sum(c), F.lit(0.0))
+
+    state = materialize(full_vector(b, n).select("i", F.lit(0.0).alias("x"), F.col("v").alias("r")), "fgmres")
+    first = norm = math.sqrt(state.agg(total(F.col("r") * F.col("r"))).first()[0])
+    target, used, status = options.target(norm), 0, Status.MAX_ITERATIONS
+    while norm > target and used < options.max_iterations:
+        size = min(restart, options.max_iterations - used)
+        h, g, held = np.zeros((size + 1, size)), np.zeros(size + 1), state
+        g[0], happy, count = norm, False, 0
+        state = state.withColumn("v0", F.col("r") / norm)
+        for k in range(size):
+            z = m.apply(state.select("i", F.col(f"v{k}").alias("v"))).select("i", F.col("v").alias(f"z{k}"))
+            both = materialize(state.join(z, "i", "left").na.fill(0.0, [f"z{k}"]), "fgmres")
+            w = algebra.products(a, both.select("i", F.col(f"z{k}").alias("v"))).select("i", F.col("v").alias("w"))
+            step = materialize(both.join(w, "i", "left").na.fill(0.0, ["w"]), "fgmres")
+            release(both, held)
+            scale = math.sqrt(step.agg(total(F.col("w") * F.col("w"))).first()[0])
+            rest = F.col("w")
+            for _ in range(2):
+                c = step.agg(*[total(F.col(f"v{q}") * rest).alias(f"c{q}") for q in range(k + 1)]).first()
+                h[: k + 1, k] += np.array(list(c))
+                for q in range(k + 1):
+                    rest = rest - float(c[q]) * F.col(f"v{q}")
+            h[k + 1, k] = math.sqrt(step.agg(total(rest * rest)).first()[0])
+            held, used, count = step, used + 1, k + 1
+            if not math.isfinite(h[k + 1, k]):
+                return step.select("i", F.col("x").alias("v")), Outcome(Status.BREAKDOWN, used, first, norm)
+            happy = h[k + 1, k] <= 1e-14 * max(scale, TINY)
+            state = step.drop("w") if happy else step.withColumn(f"v{k + 1}", rest / float(h[k + 1, k])).drop("w")
+            y, left, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], g[: k + 2], rcond=None)
+            if happy or np.linalg.norm(g[: k + 2] - h[: k + 2, : k + 1] @ y) <= target:
+                break
+        x = F.col("x")
+        for q in range(count):
+            x = x + float(y[q]) * F.col(f"z{q}")
+        solved = materialize(held.select("i", x.alias("x")), "fgmres")
+        ax = algebra.products(a, solved.select("i", F.col("x").alias("v"))).select("i", F.col("v").alias("ax"))
+        fresh = materialize(solved.join(full_vector(b, n), "i").join(ax, "i", "left").na.fill(0.0, ["ax"]).select("i", "x", (F.col("v") - F.col("ax")).alias("r")), "fgmres")
+        release(held, solved)
+        state, before = fresh, norm
+        norm = math.sqrt(state.agg(total(F.col("r") * F.col("r"))).first()[0])
+        if norm > target and (happy or norm >= before):
+            status = Status.BREAKDOWN
+            break
+    return state.select("i", F.col("x").alias("v")), Outcome(Status.CONVERGED if norm <= target else status, used, first, norm)
+
+
 class BudgetAware:
     """Doubles the restart when, twice running, the rate over four cycles won't reach the target in the iterations left.
 

@@ -3,7 +3,8 @@
 Those that are a fixed sparse matrix (Jacobi, block Jacobi, overlapping Schwarz) are kept as one, so
 applying them is a product on any backend. A two-level preconditioner adds P A_c⁻¹ Pᵀ, whose
 dense coarse matrix has a bounded dimension and lives on the driver. Incomplete factors are
-sequential by rows and live on the driver, for matrices that fit there.
+sequential by rows: those of a whole matrix live on the driver, for matrices that fit there, those of
+each owner's block are made and applied where the block is.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ from lattix.operators.profile import need_diagonal
 from lattix.plans.storage import materialize
 from lattix.schema import InvalidArgument, MissingDiagonal, NumericalBreakdown, SparseMatrix
 from lattix.solvers import coarse as C
-from lattix.solvers.backend import BlockedMatrix, LocalMatrix, to_array, to_vector
+from lattix.solvers.backend import LOCAL_NNZ, LocalMatrix, product_of, to_array, to_vector
 
 #: Most rows of a coarse matrix on the driver (dense doubles: 128 MB).
 COARSE_MOST = 4096
+#: Rows from which a dense local block is inverted in a call of its own.
+SHARED_ROWS = 256
 
 
 def cholesky(block: np.ndarray) -> np.ndarray:
@@ -63,8 +67,7 @@ class MatrixPreconditioner:
 
     def solve(self, r: np.ndarray) -> np.ndarray:
         if self._local is None:
-            few = self.minv.df.limit(4_000_001).count() <= 4_000_000
-            self._local = LocalMatrix.collect(self.minv) if few else BlockedMatrix(self.minv)
+            self._local = product_of(self.minv)
         return self._local(r)
 
 
@@ -98,8 +101,11 @@ def block_inverses(a: SparseMatrix, region: DataFrame) -> DataFrame:
             out.append((np.full(n * n, block[s]), np.repeat(rows, n), np.tile(rows, n), inverse(dense).reshape(-1)))
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("block", "i", "j", "v"), zip(*out, strict=True), strict=True)})
 
-    # many small blocks share a call; the blocks of a call are as many whatever the matrix
-    return same.withColumn("batch", F.shiftright("block", 7)).groupBy("batch").applyInPandas(invert, "block bigint, i bigint, j bigint, v double")
+    # small blocks share a call, at most 128 of them; one of SHARED_ROWS rows or more has a call of its own, so a call's dense
+    # blocks hold 64 MB or one block
+    sizes = region.groupBy("block").agg(F.count("*").alias("rows")).where(F.col("rows") >= SHARED_ROWS).select("block", F.lit(True).alias("large"))
+    batch = F.when(F.col("large"), F.struct(F.lit(1).alias("large"), F.col("block").alias("number"))).otherwise(F.struct(F.lit(0).alias("large"), F.shiftright("block", 7).alias("number")))
+    return same.join(sizes, "block", "left").withColumn("batch", batch).select("batch", "block", "i", "j", "v").groupBy("batch").applyInPandas(invert, "block bigint, i bigint, j bigint, v double")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +173,7 @@ class TwoLevel:
 
     def solve(self, r: np.ndarray) -> np.ndarray:
         if self._local is None:
-            p = LocalMatrix.collect(self.transfer)
-            self._local = (p, p.transposed(), LocalMatrix.collect(self.a) if self.balanced else None)
+            self._local = (product_of(self.transfer), product_of(algebra.transpose(self.transfer)), product_of(self.a) if self.balanced else None)
         p, pt, a = self._local
         c = p(self.inverse @ pt(r))
         if not self.balanced:
@@ -223,6 +228,7 @@ def make(kind: str, a: SparseMatrix, owners: DataFrame | None = None, width: int
         "block_jacobi": lambda: block_jacobi(a, width),
         "local_block_cholesky": lambda: block_jacobi(a, width, owners),
         "local_ic0": lambda: ic0_blocks(a, owners),
+        "local_ilu0": lambda: ilu0_blocks(a, owners),
         "rank_constant": lambda: rank_constant(a, owners),
         "ilu0": lambda: Ilu0(a),
         "ilu0_identity_fallback": lambda: Ilu0(a, True),
@@ -291,32 +297,154 @@ class Ilu0:
         return low, up
 
 
-def ic0_blocks(a: SparseMatrix, owners: DataFrame) -> MatrixPreconditioner:
-    """Incomplete Cholesky without fill inside each owner's rows, kept as the inverse of L Lᵀ of the owner's block."""
-
-    def factor(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, own = np.unique(np.concatenate([frame.i, frame.j]), return_inverse=True)
-        n = len(rows)
-        full, kept = np.zeros((n, n)), np.zeros((n, n), bool)
-        i, j = own[: len(frame)], own[len(frame) :]
-        np.add.at(full, (i, j), frame.v.to_numpy())
-        kept[i, j] = True
-        low = np.zeros((n, n))
-        for r in range(n):
-            for c in np.flatnonzero(kept[r, :r]):
-                low[r, c] = (full[r, c] - low[r, :c] @ low[c, :c]) / low[c, c]
-            d = full[r, r] - low[r, :r] @ low[r, :r]
-            if d <= 0:
-                raise NumericalBreakdown("an incomplete pivot is not positive")
-            low[r, r] = np.sqrt(d)
-        inv = np.linalg.inv(low)
-        inv = inv.T @ inv
-        return pd.DataFrame({"i": np.repeat(rows, n), "j": np.tile(rows, n), "v": inv.reshape(-1)})
-
-    cols = owners.select(F.col("i").alias("j"), F.col("owner").alias("o"))
-    near = a.df.join(owners, "i").join(cols, "j").where("owner = o").select("owner", "i", "j", "v")
-    out = near.groupBy("owner").applyInPandas(factor, "i bigint, j bigint, v double")
-    return MatrixPreconditioner(SparseMatrix(materialize(out, "ic0"), a.nrows, a.ncols))
+class OwnerFactors:
+    """Incomplete factors without fill of each owner's own block, kept sparse where the owner's rows are.
+
+    A row of ``packed`` holds one owner's factor: global rows, row pointers, local columns and values as
+    bytes. Factors of at most ``LOCAL_NNZ`` entries in all are applied on the driver; larger ones where they are
+    stored, with the vector broadcast (:meth:`solve`) or as a table (:meth:`apply`).
+    """
+
+    def __init__(self, a: SparseMatrix, owners: DataFrame, symmetric: bool):
+        cols = owners.select(F.col("i").alias("j"), F.col("owner").alias("o"))
+        near = a.df.join(owners, "i").join(cols, "j").where("owner = o").select("owner", "i", "j", "v")
+
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            rows, ptr, col, val = _compressed(*(frame[c].to_numpy() for c in ("i", "j", "v")))
+            val = _incomplete_cholesky(ptr, col, val) if symmetric else _incomplete_lu(ptr, col, val)
+            return pd.DataFrame({"owner": [frame.owner.iloc[0]], "n": [len(val)], **{c: [x.tobytes()] for c, x in zip(_PACKED, (rows, ptr, col, val), strict=True)}})
+
+        fields = ", ".join(f"{c} binary" for c in _PACKED)
+        self.packed = materialize(near.groupBy("owner").applyInPandas(pack, f"owner int, n long, {fields}"), "owner-factors")
+        self.owners, self.nrows, self.symmetric = owners, a.nrows, symmetric
+        self.local = self.packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= LOCAL_NNZ
+        self._factors = None
+
+    def apply(self, r: DataFrame) -> DataFrame:
+        symmetric = self.symmetric
+
+        def solve(factor: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            rows, *parts = _unpacked(factor.iloc[0])
+            x = np.zeros(len(rows))
+            at = np.searchsorted(rows, own.i.to_numpy())
+            x[at] = own.v.to_numpy()
+            return pd.DataFrame({"i": rows, "v": _triangular(*parts, x, symmetric)})
+
+        dealt = r.join(self.owners, "i").select("owner", "i", "v")
+        return self.packed.groupBy("owner").cogroup(dealt.groupBy("owner")).applyInPandas(solve, "i bigint, v double")
+
+    def solve(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.nrows)
+        if self.local:
+            if self._factors is None:
+                self._factors = [_unpacked(f) for f in self.packed.select(*_PACKED).collect()]
+            for rows, *parts in self._factors:
+                out[rows] = _triangular(*parts, r[rows], self.symmetric)
+            return out
+        sent, symmetric = self.packed.sparkSession.sparkContext.broadcast(np.asarray(r, np.float64)), self.symmetric
+
+        def run(batches):
+            for batch in batches:
+                for f in batch.to_pylist():
+                    rows, *parts = _unpacked(f)
+                    x = _triangular(*parts, sent.value[rows], symmetric)
+                    yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["rows", "x"])
+
+        for f in self.packed.select(*_PACKED).mapInArrow(run, "rows binary, x binary").toLocalIterator():
+            out[np.frombuffer(f.rows, np.int64)] = np.frombuffer(f.x, np.float64)
+        sent.unpersist()
+        return out
+
+
+_PACKED = ("rows", "ptr", "col", "val")
+
+
+def _unpacked(f) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(f[c], np.float64 if c == "val" else np.int64) for c in _PACKED)
+
+
+def _compressed(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Global rows in order, row pointers, local columns and summed values of a square block."""
+    rows, own = np.unique(np.concatenate([i, j]), return_inverse=True)
+    n, key = len(rows), own[: len(i)] * len(rows) + own[len(i) :]
+    key, at = np.unique(key, return_inverse=True)
+    return rows.astype(np.int64), np.searchsorted(key // n, np.arange(n + 1)).astype(np.int64), (key % n).astype(np.int64), np.bincount(at, weights=v, minlength=len(key))
+
+
+def _incomplete_cholesky(ptr: np.ndarray, col: np.ndarray, val: np.ndarray) -> np.ndarray:
+    """L in the places up to the diagonal, row by row; what lies above is left as it was."""
+    val, work = val.copy(), np.zeros(len(ptr) - 1)
+    end = _diagonals(ptr, col)
+    for r in range(len(ptr) - 1):
+        a, d = ptr[r], end[r]
+        for k in range(a, d):
+            c = col[k]
+            x = val[k] = (val[k] - val[ptr[c] : end[c]] @ work[col[ptr[c] : end[c]]]) / val[end[c]]
+            work[c] = x
+        pivot = val[d] - val[a:d] @ val[a:d]
+        work[col[a:d]] = 0.0
+        if not pivot > 0:
+            raise NumericalBreakdown("an incomplete pivot is not positive")
+        val[d] = np.sqrt(pivot)
+    return val
+
+
+def _incomplete_lu(ptr: np.ndarray, col: np.ndarray, val: np.ndarray) -> np.ndarray:
+    """The strict lower places hold L (unit diagonal), the others U."""
+    val, work, mark = val.copy(), np.zeros(len(ptr) - 1), np.full(len(ptr) - 1, -1)
+    end = _diagonals(ptr, col)
+    for r in range(len(ptr) - 1):
+        own = slice(ptr[r], ptr[r + 1])
+        cols = col[own]
+        scale = np.abs(val[own]).max()
+        work[cols], mark[cols] = val[own], r
+        for c in cols[: end[r] - ptr[r]]:
+            work[c] /= val[end[c]]
+            upper = slice(end[c] + 1, ptr[c + 1])
+            hit = mark[col[upper]] == r
+            work[col[upper][hit]] -= work[c] * val[upper][hit]
+        val[own] = work[cols]
+        if not abs(val[end[r]]) > Ilu0.FLOOR * max(scale, np.finfo(float).tiny):
+            raise NumericalBreakdown(f"pivot of local row {r} vanishes")
+    return val
+
+
+def _diagonals(ptr: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Where each row's diagonal stands."""
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    at = np.flatnonzero(col == row)
+    if len(at) != len(ptr) - 1:
+        raise MissingDiagonal("a row of an owner's block has no diagonal entry")
+    return at
+
+
+def _triangular(ptr: np.ndarray, col: np.ndarray, val: np.ndarray, r: np.ndarray, symmetric: bool) -> np.ndarray:
+    """The forward and the backward solve with factors as above."""
+    end, x = _diagonals(ptr, col), r.astype(float).copy()
+    for k in range(len(x)):
+        low = slice(ptr[k], end[k])
+        x[k] -= val[low] @ x[col[low]]
+        if symmetric:
+            x[k] /= val[end[k]]
+    for k in range(len(x) - 1, -1, -1):
+        if symmetric:
+            x[k] /= val[end[k]]
+            low = slice(ptr[k], end[k])
+            x[col[low]] -= val[low] * x[k]
+        else:
+            up = slice(end[k] + 1, ptr[k + 1])
+            x[k] = (x[k] - val[up] @ x[col[up]]) / val[end[k]]
+    return x
+
+
+def ic0_blocks(a: SparseMatrix, owners: DataFrame) -> OwnerFactors:
+    """Incomplete Cholesky without fill inside each owner's rows."""
+    return OwnerFactors(a, owners, True)
+
+
+def ilu0_blocks(a: SparseMatrix, owners: DataFrame) -> OwnerFactors:
+    """Incomplete LU without fill inside each owner's rows, for general matrices; a vanishing pivot is an error."""
+    return OwnerFactors(a.need_square(), owners, False)
 
 
 class Sum:

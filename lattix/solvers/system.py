@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattix.operators import profile as P
+from lattix.operators.partition import owner_balanced
 from lattix.plans.storage import materialize
 from lattix.schema import InvalidArgument, LattixError, NumericalBreakdown, SparseMatrix, UnsupportedProblem
 from lattix.solvers import regions as R
-from lattix.solvers.backend import BlockedMatrix, LocalMatrix, choose, to_array, to_vector
-from lattix.solvers.krylov import PcgSession, pcg, pcg_tables, solve_general, verified
+from lattix.solvers.backend import LOCAL_NNZ, BlockedMatrix, LocalMatrix, choose, to_array, to_vector
+from lattix.solvers.krylov import PcgSession, pcg, fgmres_tables, pcg_tables, solve_general, verified
 from lattix.solvers.options import Execution, GeneralOptions, GeneralPreconditioner, HybridOptions, Outcome, ProblemClass, Report, SolverOptions, Status
-from lattix.solvers.precond import Identity, Ilu0, Jacobi, Sum, factor_bytes, rigid_body, schwarz, two_level
+from lattix.solvers.precond import Identity, Ilu0, Jacobi, Sum, factor_bytes, ilu0_blocks, rigid_body, schwarz, two_level
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,13 @@ class PreparedSystem:
         kind = self.general.preconditioner
         if kind is GeneralPreconditioner.JACOBI:
             return "jacobi", Jacobi.from_matrix(self.a, general=True)
+        if self.execution is not Execution.LOCAL and kind is not GeneralPreconditioner.ILU0_IDENTITY_FALLBACK:
+            # beyond the driver the factors are those of even ranges of rows, each made and kept where its rows are
+            ranks = max(1, -(-self.analysis.nnz // LOCAL_NNZ))
+            owners = self.a.rows().select("i", owner_balanced(F.col("i"), self.a.nrows, ranks).alias("owner"))
+            return f"{kind.value}_blocks", ilu0_blocks(self.a, owners)
         if self.execution is not Execution.LOCAL:
-            raise UnsupportedProblem("incomplete factors are sequential and need a matrix that fits the driver")
+            raise UnsupportedProblem("rows that fall back to the identity need a matrix that fits the driver")
         return kind.value, Ilu0(self.product, kind is GeneralPreconditioner.ILU0_IDENTITY_FALLBACK)
 
     def _structural(self, coords: DataFrame, balanced: bool):
@@ -93,10 +99,9 @@ class PreparedSystem:
             self.check(matrix)
         self.sequence += 1
         if self.execution is Execution.DATAFRAME:
-            if self.analysis.problem is not ProblemClass.SPD:
-                raise UnsupportedProblem("general systems need vectors that fit the driver")
-            x, out = pcg_tables(self.a, b, self.base, self.options)
-            return x, self._report("pcg", self.name, out, float(b.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0))
+            general = self.analysis.problem is ProblemClass.GENERAL_SQUARE
+            x, out = fgmres_tables(self.a, b, self.base, self.options, min(self.general.restart, 10)) if general else pcg_tables(self.a, b, self.base, self.options)
+            return x, self._report("fgmres" if general else "pcg", self.name, out, float(b.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0))
         rhs = to_array(b, self.a.nrows)
         norm = float(np.linalg.norm(rhs))
         if self.analysis.problem is ProblemClass.GENERAL_SQUARE:
