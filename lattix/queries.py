@@ -409,10 +409,10 @@ def block_offsets(spark, d):
     return layout.offsets(D.order_layout(spark, d))
 
 
-@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b), 97)) AS i) SELECT i, block_index, i - "start" AS component FROM asked JOIN b ON "start" <= i AND i < "end"', parts=False)
+@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b))) AS i) SELECT i, block_index, i - "start" AS component FROM asked JOIN b ON "start" <= i AND i < "end"', parts=False)
 def locate_dof(spark, d):
     b = layout.offsets(D.order_layout(spark, d))
-    return layout.locate(b, spark.range(0, b.agg(F.max("end")).first()[0], 97).select(F.col("id").alias("i")))
+    return layout.locate(b, spark.range(0, b.agg(F.max("end")).first()[0]).select(F.col("id").alias("i")))
 
 
 @query(f'WITH {_LAYOUT} SELECT unnest(range("start", "end")) AS i FROM b WHERE field_id = 1', parts=False)
@@ -420,10 +420,10 @@ def field_mask(spark, d):
     return layout.field_mask(layout.offsets(D.order_layout(spark, d)), 1)
 
 
-@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b), 97)) AS i) SELECT DISTINCT unnest(range("start", "end")) AS i FROM b WHERE EXISTS (SELECT 1 FROM asked WHERE "start" <= i AND i < "end")', parts=False)
+@query(f'WITH {_LAYOUT}, asked AS (SELECT unnest(range(0, (SELECT max("end") FROM b))) AS i) SELECT DISTINCT unnest(range("start", "end")) AS i FROM b WHERE EXISTS (SELECT 1 FROM asked WHERE "start" <= i AND i < "end")', parts=False)
 def field_closure(spark, d):
     b = layout.offsets(D.order_layout(spark, d))
-    return layout.close_to_blocks(b, spark.range(0, b.agg(F.max("end")).first()[0], 97).select(F.col("id").alias("i")))
+    return layout.close_to_blocks(b, spark.range(0, b.agg(F.max("end")).first()[0]).select(F.col("id").alias("i")))
 
 
 @query(f'WITH {_LAYOUT} SELECT block_index, CAST(2 AS BIGINT) AS owners FROM b WHERE "start" // 1000 <> ("end" - 1) // 1000', parts=False)
@@ -455,19 +455,23 @@ def region_multiplicity(spark, d):
     return graph.multiplicity_stats(D.supplier_regions(spark, d)).withColumn("overlap_fraction", F.round("overlap_fraction", 9))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, 1000000000 + l_orderkey AS t FROM lineitem WHERE l_orderkey % 60 = 0), both_ways AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
-  r AS (SELECT DISTINCT s AS node, s AS c FROM both_ways UNION SELECT b.t, r.c FROM r JOIN both_ways b ON b.s = r.node) SELECT node, min(c) AS component FROM r GROUP BY node""", parts=False)
+@query()
 def components(spark, d):
     lines = D.table(spark, d, "lineitem")
     return connected_components(lines.select(F.col("l_partkey").alias("src"), (F.lit(1_000_000_000) + F.col("l_orderkey")).alias("dst")))
 
 
-@query("""e AS (SELECT i, j FROM a WHERE i <> j) SELECT i AS a, j AS b, (SELECT count(*) FROM e s JOIN e t ON s.j = t.j WHERE s.i = q.i AND t.i = q.j) AS common FROM e q WHERE i < j AND i < 12""")
+_COMMON = """e AS (SELECT i, j FROM a WHERE i <> j), q AS (SELECT i AS a, j AS b FROM e WHERE i < j),
+  c AS (SELECT q.a, q.b, count(*) AS common FROM q JOIN e s ON s.i = q.a JOIN e t ON t.i = q.b AND t.j = s.j GROUP BY 1, 2)
+  SELECT a, b, coalesce(common, 0) AS common FROM q LEFT JOIN c USING (a, b)"""
+
+
+@query(_COMMON)
 def common_neighbours(spark, d):
     return graph.affinity(graph.edges(D.part_graph(spark, d)))
 
 
-@query(ORACLES["common_neighbours"].split("WITH RECURSIVE " + PARTS + ",")[1])
+@query(_COMMON)
 def common_neighbours_words(spark, d):
     return graph.affinity_bitmaps(graph.edges(D.part_graph(spark, d)))
 
@@ -501,7 +505,7 @@ def merge_unique_regions(spark, d):
     return graph.merge_unique(regions).select("region", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("""WITH RECURSIVE dep AS (SELECT DISTINCT s.l_suppkey AS i, t.l_suppkey AS j FROM lineitem s JOIN lineitem t USING (l_orderkey) WHERE t.l_suppkey < s.l_suppkey AND l_orderkey % 400 = 0),
+@query("""WITH RECURSIVE dep AS (SELECT DISTINCT s.l_suppkey AS i, t.l_suppkey AS j FROM lineitem s JOIN lineitem t USING (l_orderkey) WHERE t.l_suppkey < s.l_suppkey),
   n AS (SELECT unnest(range(max(s_suppkey) + 1)) AS i FROM supplier), r AS (SELECT i, 0 AS level FROM n UNION SELECT dep.i, r.level + 1 FROM r JOIN dep ON dep.j = r.i) SELECT i, max(level) AS level FROM r GROUP BY i""", parts=False)
 def dependency_levels(spark, d):
     lines = D.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
@@ -610,7 +614,7 @@ def budget_blocks(spark, d):
 # --- sources --------------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2", parts=False)
+@query("SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2", parts=False)
 def matrix_market_round_trip(spark, d):
     return _round_trip(spark, D.order_part(spark, d))[0].df
 
@@ -626,7 +630,7 @@ def _round_trip(spark: SparkSession, a: SparseMatrix):
     return read_matrix_market(spark, path)
 
 
-@query("""SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS nrows, (SELECT max(p_partkey) + 1 FROM part) AS ncols, false AS symmetric, count(*) AS input_entries, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicates_combined, CAST(0 AS BIGINT) AS zeros_removed FROM lineitem WHERE l_orderkey % 10 = 0""", parts=False)
+@query("""SELECT (SELECT max(o_orderkey) + 1 FROM orders) AS nrows, (SELECT max(p_partkey) + 1 FROM part) AS ncols, false AS symmetric, count(*) AS input_entries, count(*) - count(DISTINCT (l_orderkey, l_partkey)) AS duplicates_combined, CAST(0 AS BIGINT) AS zeros_removed FROM lineitem""", parts=False)
 def matrix_market_info(spark, d):
     from lattix.sources.matrix_market import info_df
 
@@ -707,15 +711,18 @@ _SOLUTION = "SELECT i, v FROM x"
 
 
 def _solve(spark, d, make, tolerance: float = 1e-10, matrix=D.part_graph) -> DataFrame:
-    from lattix.solvers.backend import LocalMatrix, to_array, to_vector
+    """CG with a preconditioner, on the backend that the matrix' size asks for."""
+    from lattix.solvers.backend import choose, product_of, to_array, to_vector
     from lattix.solvers.krylov import pcg
-    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.krylov import pcg_tables as over_tables
+    from lattix.solvers.options import Execution, SolverOptions
     from lattix.solvers.system import Solver
 
     a = Solver.stored(matrix(spark, d))
-    local = LocalMatrix.collect(a)
-    b = local(to_array(_x(a), a.ncols))
-    x, _ = pcg(local, b, make(a), options=SolverOptions(tolerance))
+    b, options = algebra.spmv(a, _x(a)), SolverOptions(tolerance)
+    if choose(a, a.df.count()) is Execution.DATAFRAME:
+        return over_tables(a, b, make(a), options)[0].withColumn("v", F.round("v", 3))
+    x, _ = pcg(product_of(a), to_array(b, a.nrows), make(a), options=options)
     return to_vector(spark, x).withColumn("v", F.round("v", 3))
 
 
@@ -753,7 +760,7 @@ def pcg_two_level(spark, d):
 def pcg_schwarz(spark, d):
     from lattix.solvers.precond import schwarz
 
-    return _solve(spark, d, lambda a: schwarz(a, a.spark.range(min(200, a.nrows)).select(F.floor(F.col("id") / 20).alias("region"), F.explode(F.sequence("id", F.least(F.col("id") + 3, F.lit(a.nrows - 1)))).alias("i"))))
+    return _solve(spark, d, lambda a: schwarz(a, a.rows().select(F.floor(F.col("i") / 20).alias("region"), F.explode(F.sequence("i", F.least(F.col("i") + 3, F.lit(a.nrows - 1)))).alias("i"))))
 
 
 @query(_SOLUTION)
@@ -803,26 +810,39 @@ def fgmres_ilu0(spark, d):
     return _system(spark, d, D.supp_graph, problem=ProblemClass.GENERAL_SQUARE, general=GeneralOptions(preconditioner=GeneralPreconditioner.ILU0))[0]
 
 
-@query("SELECT i, v FROM x WHERE i < (SELECT max(s_suppkey) + 1 FROM supplier)")
+@query(_SOLUTION)
+def fgmres_tables(spark, d):
+    from lattix.solvers.options import Execution, ProblemClass
+
+    return _system(spark, d, D.convection, problem=ProblemClass.GENERAL_SQUARE, execution=Execution.DATAFRAME)[0]
+
+
+@query(_SOLUTION)
+def fgmres_ilu0_blocks(spark, d):
+    from lattix.solvers.options import Execution, GeneralOptions, GeneralPreconditioner, ProblemClass
+
+    return _system(spark, d, D.convection, problem=ProblemClass.GENERAL_SQUARE, execution=Execution.BLOCKS, general=GeneralOptions(preconditioner=GeneralPreconditioner.ILU0))[0]
+
+
+@query(_SOLUTION)
 def pcg_ic0(spark, d):
     from lattix.solvers.precond import ic0_blocks
 
-    return _solve(spark, d, lambda a: ic0_blocks(a, _owners(a)), matrix=D.supp_graph)
+    return _solve(spark, d, lambda a: ic0_blocks(a, _owners(a)))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(i % 7 AS DOUBLE) AS v FROM range(216) q(i)", parts=False)
+@query(_SOLUTION)
 def schur_solve(spark, d):
-    import numpy as np
-
-    from lattix.solvers.backend import LocalMatrix, to_vector
+    """The interface system of the part graph dealt out over four even ranges."""
+    from lattix.solvers.backend import LocalMatrix, to_array, to_vector
     from lattix.solvers.options import SolverOptions
-    from lattix.solvers.partitioners import multisource
     from lattix.solvers.schur import Schur
-    from lattix.sources import grid7 as grid
+    from lattix.solvers.system import Solver
 
-    a = LocalMatrix.collect(grid(spark, 6, 6, 6))
-    x, _ = Schur(a, multisource(a.neighbours(), 4)).solve(a(np.arange(216.0) % 7), SolverOptions(1e-11))
-    return to_vector(spark, x).withColumn("v", F.round("v", 5) + F.lit(0.0))
+    a = Solver.stored(D.part_graph(spark, d))
+    local, owners = LocalMatrix.collect(a), to_array(_owners(a).select("i", F.col("owner").alias("v")), a.nrows).astype(int)
+    x, _ = Schur(local, owners).solve(local(to_array(_x(a), a.ncols)), SolverOptions(1e-11))
+    return to_vector(spark, x).withColumn("v", F.round("v", 3))
 
 
 @query("SELECT i, v FROM x")
@@ -864,10 +884,11 @@ def pcg_two_steps(spark, d):
 
 @query()
 def lanczos_extremes(spark, d):
-    from lattix.solvers.backend import LocalMatrix
+    from lattix.solvers.backend import product_of
     from lattix.solvers.krylov import lanczos
+    from lattix.solvers.system import Solver
 
-    a = LocalMatrix.collect(D.supp_graph(spark, d))
+    a = product_of(Solver.stored(D.supp_graph(spark, d)))
     low, high, steps = lanczos(a, a.nrows, 40)
     return spark.createDataFrame([(round(low, 4), round(high, 4), steps)], "smallest double, largest double, steps int")
 
@@ -932,7 +953,11 @@ def robust_cost(spark, d):
     return f(e.select("epoch", (F.col("s") * 100).cast("long").alias("baseline_ns"), (F.col("s") * 70).cast("long").alias("graph_ns")), 100_000, 10)
 
 
-@query()
+@query("""WITH RECURSIVE ns AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), os AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS p FROM lineitem),
+  off AS (SELECT s.p AS i, t.p AS j, CAST(count(*) AS DOUBLE) AS v FROM os s JOIN os t ON s.o = t.o AND s.p <> t.p GROUP BY 1, 2), nd AS (SELECT unnest(range(n)) AS i FROM ns),
+  r AS (SELECT i AS node, i AS c FROM nd UNION SELECT off.j, r.c FROM r JOIN off ON off.i = r.node)
+  SELECT (SELECT n FROM ns) AS strict_rows, CAST(0 AS BIGINT) AS weak_rows, CAST(0 AS BIGINT) AS other_rows, (SELECT n FROM ns) AS positive_rows, (SELECT count(*) FROM off) AS off_diagonal, CAST(0 AS BIGINT) AS missing_transpose, CAST(0 AS BIGINT) AS asymmetric, CAST(0 AS DOUBLE) AS max_difference,
+  (SELECT count(DISTINCT c) FROM (SELECT node, min(c) AS c FROM r GROUP BY node)) AS components, (SELECT max(abs(i - j)) FROM off) AS bandwidth, 'strictly dominant SPD' AS class""", parts=False)
 def matrix_audit(spark, d):
     return profile.audit(D.supp_graph(spark, d))
 
@@ -940,3 +965,169 @@ def matrix_audit(spark, d):
 @query()
 def matrix_signature(spark, d):
     return profile.signature(D.part_graph(spark, d))
+
+
+# --- round trips of files and small structures ---------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from lattix.plans.storage import scratch_dir
+
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT i, j, v FROM a")
+def spd_file_round_trip(spark, d):
+    """Written as a Matrix Market file and admitted as SPD by certificate."""
+    from lattix.sources import read_spd, write_matrix_market
+
+    path = _scratch(spark, "spd")
+    write_matrix_market(D.part_graph(spark, d), path)
+    return read_spd(spark, path, ranks=4).df
+
+
+@query("SELECT i, j, v FROM a")
+def spd_file_experimental(spark, d):
+    """The same file admitted without proof, in one file."""
+    from lattix.sources import read_spd, write_matrix_market
+    from lattix.sources.matrix_market import Admission
+
+    path = _scratch(spark, "spd")
+    write_matrix_market(D.part_graph(spark, d), path, single_file=True)
+    return read_spd(spark, path, Admission.EXPERIMENTAL).df
+
+
+@query(f"{OWN} SELECT oi AS owner, i, j, v FROM placed")
+def owned_rows_round_trip(spark, d):
+    from lattix.sources import read_owned_rows, write_owned_rows
+
+    a, path = D.part_graph(spark, d), _scratch(spark, "owned")
+    write_owned_rows(a, _owners(a), path)
+    return read_owned_rows(spark, path).select("owner", "i", "j", "v")
+
+
+@query(f"{OWN} SELECT i, j, v FROM placed WHERE oi = 2")
+def owned_rows_of_one(spark, d):
+    """One owner's rows, read without the others'."""
+    from lattix.sources import read_owned_rows, write_owned_rows
+
+    a, path = D.part_graph(spark, d), _scratch(spark, "owned")
+    write_owned_rows(a, _owners(a), path)
+    return read_owned_rows(spark, path, 2).select("i", "j", "v")
+
+
+@query(f"{OWN} SELECT oi AS owner, i, j, v FROM placed")
+def owned_rows(spark, d):
+    a = D.part_graph(spark, d)
+    return partition.owned_rows(a, _owners(a))
+
+
+@query(f"{OWN} SELECT i, owner FROM own")
+def labels_round_trip(spark, d):
+    from lattix.sources import read_labels, write_labels
+
+    a, path = D.part_graph(spark, d), _scratch(spark, "labels")
+    write_labels(_owners(a), path)
+    return read_labels(spark, path, 4, a.nrows)
+
+
+@query("SELECT p_partkey - 1 AS i, CAST(p_size % 4 AS INTEGER) AS owner FROM part", parts=False)
+def labels_of_a_map(spark, d):
+    """An external partitioner's map from 1."""
+    from lattix.sources.text import map_to_labels
+
+    return map_to_labels(D.table(spark, d, "part").select(F.col("p_partkey").alias("vertex"), (F.col("p_size") % 4).alias("part")), 1)
+
+
+@query("""e AS (SELECT i, j FROM a WHERE i <> j), lines AS (SELECT node.i, coalesce(string_agg(CAST(j + 1 AS VARCHAR), ' ' ORDER BY j), '') AS value FROM node LEFT JOIN e ON e.i = node.i GROUP BY node.i)
+  SELECT value, count(*) AS times FROM (SELECT value FROM lines UNION ALL SELECT (SELECT n FROM np) || ' ' || (SELECT count(*) // 2 FROM e)) GROUP BY value""")
+def graph_file(spark, d):
+    """The lines of the adjacency file for partitioners."""
+    from lattix.sources import write_graph
+
+    a, path = D.part_graph(spark, d), _scratch(spark, "graph")
+    write_graph(graph.edges(a), a.nrows, path)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("times"))
+
+
+@query("SELECT p_partkey AS node, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 97 AS DOUBLE) AS y, CAST(p_partkey % 53 AS DOUBLE) AS z FROM part", parts=False)
+def coordinates_round_trip(spark, d):
+    from lattix.sources import read_coordinates
+
+    c, path = D.coordinates(spark, d), _scratch(spark, "coords")
+    rows = c.select("node", F.concat_ws(" ", *[F.col(k).cast("string") for k in "xyz"]).alias("value"))
+    head = c.agg(F.lit(-1).cast("long").alias("node"), F.count("*").cast("string").alias("value"))
+    head.union(rows).repartitionByRange("node").sortWithinPartitions("node").select("value").write.text(path)
+    return read_coordinates(spark, path)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS BIGINT) AS j, CAST(length(n_name) AS DOUBLE) AS v FROM nation", parts=False)
+def csr_rows(spark, d):
+    """Compressed rows: a nation's row has one entry, in its region's column."""
+    from lattix.sources import csr_to_matrix
+
+    rows = sorted(D.table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.length("n_name")).collect())
+    return csr_to_matrix(spark, len(rows), 5, list(range(len(rows) + 1)), [r[1] for r in rows], [r[2] for r in rows]).df
+
+
+@query("SELECT i, i % 3 = 0 AS inside FROM (SELECT CAST(unnest(range(60)) AS BIGINT) AS i)", parts=False)
+def mask_members(spark, d):
+    mask = masks.mask_of(spark, 60, [0, 0, *range(57, -1, -3)])
+    return spark.createDataFrame([(i, masks.contains(mask, i)) for i in range(60)], "i long, inside boolean")
+
+
+@query("SELECT j FROM a WHERE i = 7")
+def topology_row(spark, d):
+    return topology.entries(topology.row(topology.words(D.part_graph(spark, d).pattern()), 7)).select("j")
+
+
+@query("SELECT i FROM a WHERE j = 7")
+def topology_column(spark, d):
+    return topology.entries(topology.row(topology.transpose(topology.words(D.part_graph(spark, d).pattern())), 7)).select(F.col("j").alias("i"))
+
+
+@query("SELECT CAST(q.j AS BIGINT) AS j, EXISTS (SELECT 1 FROM a WHERE a.i = 7 AND a.j = q.j) AS stored FROM range(20) q(j)")
+def topology_contains(spark, d):
+    t = topology.row(topology.words(D.part_graph(spark, d).pattern()), 7).persist()
+    return spark.createDataFrame([(j, topology.contains(t, 7, j)) for j in range(20)], "j long, stored boolean")
+
+
+@query(f"{OWN} SELECT true AS same, false AS changed, CAST(0 AS BIGINT) AS violations FROM np")
+def distributed_rows_verified(spark, d):
+    """Rows dealt out by owner hold the original's bits; one changed sign is noticed; the words break no rule."""
+    a = D.part_graph(spark, d)
+    dealt = SparseMatrix(partition.owned_rows(a, _owners(a)).select("i", "j", "v"), a.nrows, a.ncols)
+    other = SparseMatrix(a.df.withColumn("v", F.when(F.expr("i = 3 and j = 3"), -F.col("v")).otherwise(F.col("v"))), a.nrows, a.ncols)
+    broken = topology.violations(topology.words(a.pattern()), a.nrows, a.ncols).count()
+    return spark.createDataFrame([(profile.bit_exact(a, dealt), profile.bit_exact(a, other), broken)], "same boolean, changed boolean, violations long")
+
+
+@query(_SOLUTION)
+def pcg_promoting(spark, d):
+    """CG whose Jacobi gives way to owner factors, checked against the true residual."""
+    from lattix.solvers.backend import product_of, to_array, to_vector
+    from lattix.solvers.krylov import pcg_promoting as f
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.precond import Jacobi, ic0_blocks
+    from lattix.solvers.system import Solver
+
+    a = Solver.stored(D.part_graph(spark, d))
+    product = product_of(a)
+    x, _, _, _ = f(product, product(to_array(_x(a), a.ncols)), Jacobi.from_matrix(a), lambda r: ic0_blocks(a, _owners(a)), 3, 1e-3, SolverOptions(1e-10))
+    return to_vector(spark, x).withColumn("v", F.round("v", 3))
+
+
+@query("SELECT i, 3 * i AS first, v FROM x")
+def structural_solve(spark, d):
+    """Three rows for each part: the solution of (A kron I) with rigid-body aggregates, one component shown."""
+    from lattix.solvers.options import SolverOptions
+    from lattix.solvers.system import Solver
+
+    a = D.part_graph(spark, d)
+    three = a.df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select((3 * F.col("i") + F.col("k")).alias("i"), (3 * F.col("j") + F.col("k")).alias("j"), "v")
+    wide = Solver.stored(SparseMatrix(three, 3 * a.nrows, 3 * a.ncols))
+    known = _x(a).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select((3 * F.col("i") + F.col("k")).alias("i"), "v")
+    x, _ = Solver(SolverOptions(1e-10)).solve_structural(wide, a.rows().select(F.col("i").alias("node"), *[((F.col("i") * m + 1) % 101).cast("double").alias(c) for m, c in ((7, "x"), (13, "y"), (29, "z"))]), algebra.spmv(wide, known))
+    return x.where("i % 3 = 0").select((F.col("i") / 3).cast("long").alias("i"), F.col("i").alias("first"), F.round("v", 3).alias("v"))
