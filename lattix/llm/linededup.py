@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     span = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1))))
     cover = materialize(later.groupBy("d", "th").agg(F.collect_set("pos").alias("at")).select(F.col("d").alias("own"), F.col("th").alias("own_th"), span.alias("covered")), "line-covered")
     release(windows, firsts)
-    joined = marked.join(cover, F.col("d").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")), "left").withColumn("lines", F.split("body", "\n", -1))
+    # one way at every size: by exchange, since what is covered grows with the table
+    joined = marked.join(cover.hint("merge"), F.col("d").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")), "left").withColumn("lines", F.split("body", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     left = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
     out = joined.select(
