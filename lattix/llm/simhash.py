@@ -13,38 +13,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.llm.common import Numbered, attach, map_arrow, slices
+from lattix.llm.xxh64 import xxh64
 from lattix.operators.components import connected_components
 from lattix.plans.storage import materialize, release
 
 #: Largest group of equal variants that is compared pair by pair. Members of larger groups are
 #: linked through two-wildcard (for d = 3: three-wildcard) variants, which is exact as well.
 GROUP = 48
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-
-
-def simhash(text: bytes, width: int = 3) -> int:
-    """Fingerprint of one UTF-8 text: bit b is set if it is set in over half the shingle hashes."""
-    words = text.lower().split()  # bytes: lower() touches A-Z only, split() cuts at 0x20 and 0x09-0x0D
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    if len(hashes) < 400:
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def _byte_table() -> np.ndarray:
+    """Bytes as they are hashed: A-Z lower-cased, 0x09-0x0D as the blank 0x20."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[9:14] = 32
+    return table
+
+
+_HASHED = _byte_table()
+_LANES = np.uint64(0x0101010101010101)
+
+
+def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many hashes of each run of ``sizes`` (none zero) have each of the 64 bits.
+
+    Eight counters share a 64-bit word, a byte each, so up to 255 hashes are added before these are unpacked.
+    """
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    within = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * within
+    ones = np.empty((len(sizes), 8, 8), np.int64)
+    for k in range(8):
+        packed = np.add.reduceat((hashes >> np.uint64(k)) & _LANES, at)
+        ones[:, :, k] = np.add.reduceat(packed.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return ones.reshape(-1, 64)
+
+
+def simhashes(part: pa.Array, width: int = 3) -> np.ndarray:
+    """Fingerprints of a slice of texts (large strings without nulls): a bit is set if it is set in over half the shingle hashes."""
+    n, out = len(part), np.zeros(len(part), np.uint64)
+    _, offsets, data = part.buffers()
+    if not n or data is None:
+        return out
+    bounds = np.frombuffer(offsets, np.int64, n + 1, part.offset * 8)
+    raw = _HASHED[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    raw = np.insert(raw, bounds[1:], 32)  # a blank after each text
+    inside = raw != 32
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    counts = np.add.reduceat(head, bounds[:-1] + np.arange(n), dtype=np.int64)
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    raw = raw[keep]  # every word and one blank
+    end = np.flatnonzero(raw == 32)
+    start = np.append(0, end[:-1] + 1)
+    last, own = np.repeat(np.cumsum(counts), counts), np.repeat(counts, counts)
+    at = np.arange(len(end))
+    begins = np.flatnonzero((at + width <= last) | ((own < width) & (at == last - own)))
+    hashes = xxh64(raw, start[begins], end[np.minimum(begins + width, last[begins]) - 1], 42)
+    some = np.flatnonzero(counts)
+    sizes = np.maximum(counts[some] - width + 1, 1)
+    if len(some):
+        out[some] = np.packbits(2 * _bit_counts(hashes, sizes) > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -54,8 +91,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             out = np.empty(batch.num_rows, np.uint64)
             for at, part in slices(batch.column(1)):
-                for k, value in enumerate(part):
-                    out[at + k] = simhash(value.as_buffer().to_pybytes() if value.is_valid else b"", width)
+                out[at : at + len(part)] = simhashes(part, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
     table = Numbered(docs)
@@ -221,5 +257,5 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     if not nameless.limit(1).count():
         return kept.toDF(*table.names)
     lost = docs.where("doc_id is null")
-    marked = attach(lost, lambda: lambda part: [pa.array([_signed(simhash(v.as_buffer().to_pybytes(), width)) for v in part], pa.int64())], "__fp long")
+    marked = attach(lost, lambda: lambda part: [pa.array(simhashes(part, width).view(np.int64))], "__fp long")
     return kept.unionByName(marked.join(nameless, F.col("__fp") == F.col("__nameless")).dropDuplicates(["__class"]).select(*docs.columns)).toDF(*table.names)

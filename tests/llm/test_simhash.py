@@ -1,11 +1,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lattix.llm import simhash as S
+from lattix.llm import xxh64 as X
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -94,3 +96,22 @@ def test_edges(spark):
     got = {(r.doc_id, r.component_id) for r in found}
     assert {(5, 3), (3, 3), (9, 3), (1, 1), (2, 1), (7, 7), (8, 8), (4, 4), (None, None)} == got
     assert S.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [0, 42, 2**64 - 1])
+def test_many_ranges_hash_as_one_by_one(seed):
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3 * X.SPAN, dtype=np.uint8)
+    start = np.sort(rng.integers(0, len(data) - X.SPAN, 20_000))
+    end = start + np.where(np.arange(len(start)) % 3, rng.integers(0, 40, len(start)), rng.integers(0, X.LONGEST + 40, len(start)))
+    end[7], end[-1] = start[7] + X.SPAN, len(data)
+    assert X.xxh64(data, start, end, seed).tolist() == [xxhash.xxh64_intdigest(data[a:b], seed) for a, b in zip(start, end, strict=True)]
+    assert len(X.xxh64(data, start[:0], end[:0], seed)) == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5])
+def test_slices_of_odd_texts(width):
+    odd = ["", " \n", "a", "a b", "A  B\tc", "x " * 70_000, "Ä b c", "\x85 \x1c a", "y" * 100_000 + " z " + "q" * 3000, " lead", "trail ", "　 wide gap"] * 2
+    for texts in (odd, odd[::-1], [""], []):
+        part = pa.array(["cut off", *texts], pa.large_string()).slice(1)
+        assert S.simhashes(part, width).tolist() == [slow_fingerprint(t, width) for t in texts]
