@@ -176,9 +176,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: l
     table = Numbered(docs)
     every = materialize(item_windows(items, width, shingle), "decontam-items")
     windows = materialize(every.groupBy("win").agg(*[F.first(c).alias(c) for c in ("text", "gram", "tokens")]), "decontam-windows")
-    tokens = windows.select(F.explode("tokens").alias("token")).distinct()
-    known = Filter.of(tokens, tokens.count())
-    grams = {r.gram: (r.least, r.most) for r in windows.groupBy("gram").agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most")).collect()}
+    tokens = windows.select("gram", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    sizes = tokens.groupBy("gram").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.approx_count_distinct("token").alias("distinct")).collect()
+    grams = {r.gram: (r.least, r.most) for r in sizes}
+    known = Filter.of(tokens, sum(r.distinct for r in sizes))
 
     results = ("n_words", "hit_spans", "item_ids", "longest_window")
     held, plain, names = table.plain(results, keep)
@@ -188,14 +189,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: l
     runs = materialize(loud.groupBy("text_key").agg(F.count("*").alias("times"), F.first("runs").alias("runs")).select("text_key", "times", F.inline("runs")), "decontam-runs")
     pieces = materialize(runs.groupBy("piece").agg(*[F.first(c).alias(c) for c in ("text", "gram", "tokens")], F.sum("times").alias("times"), F.count("*").alias("places")), "decontam-pieces")
     hits = window_hits(pieces, windows, width).groupBy("piece").agg(F.collect_list(F.struct("a", "b", "win")).alias("hits"))
-    met = meet(runs.select("text_key", "piece", "start"), hits.join(pieces.select("piece", "places"), "piece"), ["piece"], "places")
+    hits = materialize(hits.join(pieces.select("piece", "places"), "piece"), "decontam-places")  # read more than once by the meeting
+    met = meet(runs.select("text_key", "piece", "start"), hits, ["piece"], "places")
     placed = materialize(met.select("text_key", "start", F.inline("hits")).select("text_key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "win"), "decontam-hits")
     spans = map_arrow(placed.groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), _merged, "text_key string, hit_spans array<struct<start:long,end:long>>, longest_window long")
     owned = placed.select("text_key", "win").distinct().join(every.select("win", "item_id").distinct(), "win").select("text_key", "item_id").distinct()
     listed = owned.groupBy("text_key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     copies = runs.select("text_key", "times").distinct()
     found = materialize(spans.join(listed, "text_key").join(copies, "text_key"), "decontam-found")
-    release(every, windows, runs, pieces, placed)
+    release(every, windows, runs, pieces, hits, placed)
 
     no_spans, no_items = F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>")
     quiet = marked.where("text_key is null").select(*plain, "n_words", no_spans.alias("hit_spans"), no_items.alias("item_ids"), F.lit(0).cast("long").alias("longest_window"))
