@@ -244,6 +244,15 @@ def residual_seeds(spark, d):
     return masks.residual_seeds(residual(spark, d))
 
 
+@query()
+def core_regions(spark, d):
+    """Connected chunks of risky parts around the strongest residuals; sequential claims have no SQL, a test holds them to brute force."""
+    from lattix.solvers.options import HybridOptions
+    from lattix.solvers.regions import core_regions as f
+
+    return f(D.part_graph(spark, d), risk_mask(spark, d), residual_seeds(spark, d), residual(spark, d), HybridOptions())
+
+
 @query("""SELECT a.i, coalesce(sum(a.v * x.v) FILTER (a.j % 4 = 0), 0) AS v, count(*) AS candidates, count(*) FILTER (a.j % 4 = 0) AS executed, count(*) FILTER (a.j % 4 <> 0) AS skipped FROM a JOIN x ON x.i = a.j GROUP BY a.i""")
 def pruned_dot(spark, d):
     a = D.part_graph(spark, d)

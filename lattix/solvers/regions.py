@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lattix.schema import InvalidArgument
-from lattix.solvers.backend import LocalMatrix
+from lattix.schema import InvalidArgument, SparseMatrix
+from lattix.solvers.backend import LOCAL_NNZ, LocalMatrix
 from lattix.solvers.options import HybridOptions, Selection
 from lattix.solvers.precond import factor_bytes
 
@@ -59,6 +61,27 @@ def discover(a: LocalMatrix, risk: np.ndarray, seeds: np.ndarray, r: np.ndarray,
     return found[: options.regions]
 
 
+def core_regions(a: SparseMatrix, risk: DataFrame, seeds: DataFrame, r: DataFrame, options: HybridOptions, limit: int = LOCAL_NNZ) -> DataFrame:
+    """``(region, i)`` of :func:`discover`; regions are numbered from 0 in its order.
+
+    Only the rows and columns of the risk set and the seeds are brought to the driver, renumbered in ascending
+    order, and at most ``limit`` of their nodes and of their entries: more raise an error.
+    """
+    spark = a.spark
+    marks = risk.select("i", F.lit(True).alias("risky"), F.lit(False).alias("seed")).unionByName(seeds.select("i", F.lit(False).alias("risky"), F.lit(True).alias("seed")))
+    nodes = marks.groupBy("i").agg(F.max("risky").alias("risky"), F.max("seed").alias("seed")).join(r.select("i", F.col("v").alias("r")), "i", "left")
+    got = nodes.limit(limit + 1).toArrow().sort_by("i")
+    if got.num_rows > limit:
+        raise InvalidArgument(f"more than {limit} nodes at risk don't go to the driver")
+    at = got.column("i").to_numpy()
+    held = nodes.select("i")
+    inner = LocalMatrix.collect(SparseMatrix(a.df.join(held, "i", "left_semi").join(held.withColumnRenamed("i", "j"), "j", "left_semi"), a.nrows, a.ncols), limit)
+    local = LocalMatrix(np.searchsorted(at, inner.i), np.searchsorted(at, inner.j), inner.v, len(at), len(at))
+    flags = [np.array(got.column(c).to_pylist(), bool) for c in ("risky", "seed")]
+    found = discover(local, *flags, np.nan_to_num(got.column("r").to_numpy().astype(float)), options)
+    return spark.createDataFrame([(k, int(at[n])) for k, g in enumerate(found) for n in g], "region bigint, i bigint")
+
+
 def expand(a: LocalMatrix, cores: list[Region], r: np.ndarray, options: HybridOptions) -> list[Region]:
     """Cores with ``overlap`` hops along rows of A; the cap keeps the core, then the strongest |r|, ties by index."""
     out = []

@@ -2,8 +2,12 @@
 
 import pytest
 
+from lattix import datasets
 from lattix import queries as engine
 from lattix.operators import graph
+from lattix.schema import InvalidArgument
+from lattix.solvers import regions
+from lattix.solvers.options import HybridOptions
 
 
 @pytest.fixture
@@ -81,3 +85,44 @@ def test_matrix_market_queries_write_every_entry(spark, tables):
     assert {(r.i, r.j): r.v for r in engine.QUERIES["matrix_market_round_trip"](spark, d).collect()} == expected
     info = engine.QUERIES["matrix_market_info"](spark, d).first()
     assert (info.nrows, info.ncols, info.input_entries, info.duplicates_combined) == (34, 7, 36, 36 - len(expected))
+
+
+def chunks(lines, risky, seeds, strength, size, most):
+    """Core regions by brute force over neighbour sets."""
+    near = {i: {q for o, p in lines if p == i for u, q in lines if u == o} for _, i in lines}
+    by_strength = lambda nodes: sorted(nodes, key=lambda k: (-strength[k], k))
+    left, found = set(risky), []
+    while left:
+        part, edge = set(), {min(left)}
+        while edge:
+            part |= edge
+            edge = {q for k in edge for q in near[k]} & set(risky) - part
+        left -= part
+        free = set(part)
+        for root in by_strength(part) if part & set(seeds) else ():
+            order = [root] if root in free else []
+            for k in order:
+                order += [q for q in sorted(near[k]) if q in free and q not in order]
+            order = order[:size]
+            free -= set(order)
+            found += [sorted(order)] if order else []
+    return sorted(found, key=lambda g: (-max(strength[k] for k in g), g[0]))[:most]
+
+
+@pytest.mark.parametrize("size, most", [(4, 3), (2, 50), (100, 100)])
+def test_core_regions_equal_brute_force(spark, size, most):
+    lines = [(o, p) for o in range(40) for p in {(o * 7) % 31, (o * o + 1) % 31} if (o + p) % 4]
+    one = spark.createDataFrame(lines, "o bigint, p bigint")
+    a = datasets.laplacian(one, 31)
+    strength = {i: float((i * 13) % 9) for i in range(31)}
+    nodes = {p for _, p in lines}
+    risky, seeds = [i for i in sorted(nodes) if i % 5], [i for i in sorted(nodes) if strength[i] >= 7]
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "i bigint")
+    r = spark.createDataFrame([(i, v if i % 2 else -v) for i, v in strength.items()], "i bigint, v double")
+    got: dict[int, list[int]] = {}
+    for row in regions.core_regions(a, ids(risky), ids(seeds), r, HybridOptions(regions=most, region_size=size)).collect():
+        got.setdefault(row.region, []).append(row.i)
+    assert [sorted(got[k]) for k in sorted(got)] == chunks(lines, risky, seeds, strength, size, most)
+    assert regions.core_regions(a, ids([]), ids([]), r, HybridOptions()).count() == 0
+    with pytest.raises(InvalidArgument):
+        regions.core_regions(a, ids(risky), ids(seeds), r, HybridOptions(), limit=3)
