@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from lattix.schema import DimensionMismatch, FormatError, InvalidMatrix, SparseMatrix
 
 
+#: What tells a split of the input, in the order of the lines.
+_SPLIT = ["part", "file", "block"]
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``(at, value)`` with numbers that grow along the file: its split, then the line in it."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "﻿", "").alias("value"))
+    """Lines ``(part, file, block, at, value)`` that sort as they stand: part files by number, then by name, the split's place in its file, the line in it.
+
+    Which splits share a task, and in what order, is up to Spark (the longest first), so numbers of tasks give no order.
+    """
+    part = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS bigint)"), F.lit(-1))
+    place = [part.alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "﻿", "").alias("value"))
 
 
 def _values(lines: DataFrame) -> DataFrame:
-    """Whitespace-separated fields ``(at, k, field)`` without comments that begin with # or %."""
+    """Whitespace-separated fields ``(part, file, block, at, k, field)`` without comments that begin with # or %."""
     kept = lines.where(~F.ltrim("value").rlike("^[#%]") & (F.trim("value") != ""))
-    return kept.select("at", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "field"))
+    return kept.select(*_SPLIT, "at", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "field"))
 
 
 def _ranked(fields: DataFrame) -> DataFrame:
     """``(i, field)`` with gapless numbers: counts of splits are summed first, so no task orders the whole file."""
-    split = F.shiftright("at", 33)
-    own = fields.withColumn("split", split)
-    base = own.groupBy("split").count().select("split", F.coalesce(F.sum("count").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("split").orderBy("at", "k")) - 1
-    return own.withColumn("rank", rank).join(base, "split").select((F.col("base") + F.col("rank")).alias("i"), "field")
+    base = fields.groupBy(*_SPLIT).count().select(*_SPLIT, F.coalesce(F.sum("count").over(Window.orderBy(*_SPLIT).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy(*_SPLIT).orderBy("at", "k")) - 1
+    return fields.withColumn("rank", rank).join(base, _SPLIT).select((F.col("base") + F.col("rank")).alias("i"), "field")
 
 
 def read_vector(spark: SparkSession, path: str, n: int) -> DataFrame:

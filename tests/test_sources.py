@@ -86,6 +86,23 @@ def test_vectors_coordinates_and_labels(spark, tmp_path):
         S.read_labels(spark, str(tmp_path / "labels"), 2)
 
 
+def test_lines_keep_the_order_of_part_files_of_any_size(spark, tmp_path):
+    """Spark reads the longest split first; the numbers follow the files all the same, and a file's splits each other."""
+    sizes = {"part-00000-a.txt": 3, "part-00001-a.txt": 900, "part-00002-a.txt": 40, "part-99999-a.txt": 5, "part-100000-a.txt": 2000}
+    (tmp_path / "v").mkdir()
+    at = 0
+    for name, n in sizes.items():
+        put(tmp_path / "v", name, "".join(f"{k}\n" for k in range(at, at + n)))
+        at += n
+    put(tmp_path, "one.txt", "".join(f"{k}\n" for k in range(at)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (before, "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        for name in ("v", "one.txt"):
+            assert [(r.i, r.v) for r in S.read_vector(spark, str(tmp_path / name), at).orderBy("i").collect()] == [(k, float(k)) for k in range(at)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_graph_and_owned_rows(spark, tmp_path):
     from lattix.operators.graph import edges
 
