@@ -429,3 +429,17 @@ def test_dispatch_and_single_precision(spark):
         precond.make("magic", a)
     wide, single = precond.two_level(a, 1, 6), precond.two_level(a, 1, 6, single=True)
     assert np.abs(wide.solve(r) - single.solve(r)).max() < 1e-4
+
+
+@pytest.mark.parametrize("policy", ["BUDGET_AWARE", "ESCALATING"])
+def test_restart_policy_is_the_same_over_tables(spark, policy):
+    """Beyond the driver's size the restarts are those that small systems get, step by step."""
+    a = SparseMatrix(chain(spark, 24).df.withColumn("v", F.when(F.col("j") > F.col("i"), F.col("v") / 2).otherwise(F.col("v"))), 24, 24)
+    b = spark.range(24).select(F.col("id").alias("i"), (1.0 + F.col("id") % 5).alias("v"))
+    general = GeneralOptions(restart=1, max_restart=4, stage_iterations=3, policy=Restart[policy])
+    found = []
+    for execution in (Execution.LOCAL, Execution.DATAFRAME):
+        x, report = Solver(SolverOptions(1e-12, max_iterations=11), ProblemClass.GENERAL_SQUARE, execution, general=general).solve(a, b)
+        found.append((report.iterations, report.restart, report.final_residual, to_array(x, 24)))
+    assert found[0][:2] == found[1][:2] and found[0][1] > 1
+    assert abs(found[0][2] - found[1][2]) < 1e-9 and np.abs(found[0][3] - found[1][3]).max() < 1e-9
