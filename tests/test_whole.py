@@ -5,7 +5,7 @@ import pytest
 from lattix import datasets
 from lattix import queries as engine
 from lattix.operators import graph
-from lattix.schema import InvalidArgument
+from lattix.schema import InvalidArgument, SparseMatrix
 from lattix.solvers import regions
 from lattix.solvers.options import HybridOptions
 
@@ -126,3 +126,37 @@ def test_core_regions_equal_brute_force(spark, size, most):
     assert regions.core_regions(a, ids([]), ids([]), r, HybridOptions()).count() == 0
     with pytest.raises(InvalidArgument):
         regions.core_regions(a, ids(risky), ids(seeds), r, HybridOptions(), limit=3)
+
+
+def test_graphs_of_any_size_go_to_a_file_on_the_driver(spark, monkeypatch):
+    """Neighbours, products and dense blocks from the file, though blocks are tiny and duplicates and empty rows are there."""
+    import numpy as np
+
+    from lattix.solvers import backend, coarse
+
+    monkeypatch.setattr(backend, "BLOCK_ENTRIES", 7)
+    assert not hasattr(coarse, "MOST_NODES")
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(j), float(v)) for i, j, v in zip(rng.integers(0, 40, 300) // 2 * 2, rng.integers(0, 40, 300), rng.integers(1, 9, 300), strict=True)]
+    a = SparseMatrix(spark.createDataFrame(rows, "i bigint, j bigint, v double"), 40, 40)
+    local, near, full = backend.LocalMatrix.collect(a), coarse.adjacency(a.df, 40), backend.DiskRows(a.df, 40, values=True)
+    x = rng.normal(size=40)
+    assert all(near[k].tolist() == full[k].tolist() == local.row(k)[0].tolist() for k in range(40)) and len(list(near)) == 40
+    assert np.abs(full(x) - local(x)).max() < 1e-12 and (full.dense(np.array([2, 4, 9])) == local.dense(np.array([2, 4, 9]))).all()
+    blocked = backend.BlockedMatrix(a)
+    assert np.abs(blocked(x) - local(x)).max() < 1e-12 and blocked.packed.count() > 16  # no task packs its whole share at once
+
+
+def test_sequential_solves_have_no_limit_of_entries(spark, monkeypatch):
+    """Levels, regions and the interface system of more entries than LOCAL_NNZ."""
+    from lattix import queries as Q
+    from lattix.solvers import backend, schur
+
+    sf, want = "/root/testdata/sf0.001", {}
+    for name in ("dependency_levels", "core_regions", "schur_solve"):
+        want[name] = sorted(Q.QUERIES[name](spark, sf).collect())
+    monkeypatch.setattr(backend, "LOCAL_NNZ", 10)
+    monkeypatch.setattr(schur, "DENSE_ROWS", 0)
+    monkeypatch.setattr(backend.LocalMatrix, "collect", None)
+    for name, rows in want.items():
+        assert sorted(Q.QUERIES[name](spark, sf).collect()) == rows
