@@ -443,3 +443,41 @@ def test_restart_policy_is_the_same_over_tables(spark, policy):
         found.append((report.iterations, report.restart, report.final_residual, to_array(x, 24)))
     assert found[0][:2] == found[1][:2] and found[0][1] > 1
     assert abs(found[0][2] - found[1][2]) < 1e-9 and np.abs(found[0][3] - found[1][3]).max() < 1e-9
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("dealt", ["floor(i / 10)", "i % 3"])
+def test_owner_factors_are_stored_in_pieces(spark, monkeypatch, symmetric, dealt):
+    """No piece has more entries than a block may, whatever the owner's block has; all ways to apply them agree."""
+    monkeypatch.setattr(precond, "BLOCK_ENTRIES", 16)
+    n = 30
+    dense = np.array([[-1.0 if i != j and (i * j + i + j) % 3 else 0.0 for j in range(n)] for i in range(n)])
+    dense[np.arange(n), np.arange(n)] = 1 - dense.sum(1)
+    if not symmetric:
+        dense = np.where(np.triu(np.ones((n, n)), 1) > 0, dense / 2, dense)
+    a = SparseMatrix(spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense), strict=True)], "i bigint, j bigint, v double"), n, n)
+    owners = a.rows().selectExpr("i", f"cast({dealt} as int) as owner")
+    made = precond.OwnerFactors(a, owners, symmetric)
+    sizes = [r.n for r in made.packed.collect()]
+    assert len(sizes) > 3 and max(sizes) <= 16
+    r = np.arange(1.0, n + 1)
+    local = made.solve(r)
+    table = {x.i: x.v for x in made.apply(spark.createDataFrame([(i, float(v)) for i, v in enumerate(r)], "i bigint, v double")).collect()}
+    made.local = False
+    assert np.allclose(made.solve(r), local) and np.allclose([table[i] for i in range(n)], local)
+    owned = np.array([x.owner for x in owners.orderBy("i").collect()])
+    for k in range(3):
+        block = dense[np.ix_(owned == k, owned == k)]
+        low, up = ilu0_dense(block)
+        assert np.allclose(low @ up @ local[owned == k], r[owned == k])
+
+
+def ilu0_dense(block):
+    """Incomplete LU without fill by brute force; for a symmetric matrix L U = L D Lt is the incomplete Cholesky product."""
+    lu, kept = block.copy(), block != 0
+    for i in range(len(lu)):
+        for k in range(i):
+            if kept[i, k]:
+                lu[i, k] /= lu[k, k]
+                lu[i, k + 1 :] -= np.where(kept[i, k + 1 :] & kept[k, k + 1 :], lu[i, k] * lu[k, k + 1 :], 0.0)
+    return np.tril(lu, -1) + np.eye(len(lu)), np.triu(lu)
