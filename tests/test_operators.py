@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lattix.functions import trailing_zeros
 from lattix.operators import algebra, graph, layout, masks, partition, profile, topology
 from lattix.operators.components import connected_components
+from lattix.plans.storage import materialize
 from lattix.schema import DimensionMismatch, InvalidArgument, InvalidMatrix, MissingDiagonal, SparseMatrix
 from lattix.solvers.backend import LocalMatrix
 from lattix.sources import chain, grid7
@@ -238,3 +239,22 @@ def test_stream_accumulates(spark, tmp_path):
         q.awaitTermination()
     got = {(r.i, r.j): r.v for r in spark.table("sumsTrue").collect()}
     assert got[0, 0] == 3.0 and got[4, 1] == 2.0 and len(got) == 14
+
+
+@pytest.mark.parametrize("bitmaps", [False, True])
+def test_affinity_stores_no_wedges(spark, monkeypatch, bitmaps):
+    """Rows go round in slabs, of which none holds all; what is stored are rows and scores."""
+    stored = []
+    monkeypatch.setattr(graph, "SLAB_BYTES", 200)
+    monkeypatch.setattr(graph, "materialize", lambda df, name: stored.append((name, out := materialize(df, name), out.count())) or out)
+    near = {(i, j) for i in range(40) for j in range(40) if i != j and (i * j + i + j) % 3 == 0 or i * j == 0 and i != j}
+    got = graph.affinity(spark.createDataFrame(sorted(near), "i bigint, j bigint"), bitmaps).collect()
+    expected = {(i, j): sum((i, k) in near and (j, k) in near for k in range(40)) for i, j in near if i < j}
+    assert {(r.a, r.b): r.common for r in got} == expected and len(got) == len(expected)
+    scores = [count for name, _, count in stored if name == "affinity"]
+    assert len(scores) > 1 and sum(scores) == len(expected) and {name for name, *_ in stored} == {"affinity-rows", "affinity"}
+
+
+def test_affinity_of_ids_below_zero(spark):
+    pairs = spark.createDataFrame([(i, j) for i in (-5, 2, 9) for j in (-5, 2, 9) if i != j], "i bigint, j bigint")
+    assert sorted(tuple(r) for r in graph.affinity(pairs).collect()) == [(-5, 2, 1), (-5, 9, 1), (2, 9, 1)]
