@@ -258,3 +258,27 @@ def test_affinity_stores_no_wedges(spark, monkeypatch, bitmaps):
 def test_affinity_of_ids_below_zero(spark):
     pairs = spark.createDataFrame([(i, j) for i in (-5, 2, 9) for j in (-5, 2, 9) if i != j], "i bigint, j bigint")
     assert sorted(tuple(r) for r in graph.affinity(pairs).collect()) == [(-5, 2, 1), (-5, 9, 1), (2, 9, 1)]
+
+
+def test_bit_exactness_is_decided_slice_by_slice(spark, monkeypatch):
+    """Both are exchanged in several parts, none of which holds all; a change in the last part is seen, and so is an entry twice."""
+    from lattix.operators import meetings
+
+    monkeypatch.setattr(profile, "SLICE_ENTRIES", 20)
+    seen, whole = [], meetings.differing
+    monkeypatch.setattr(meetings, "differing", lambda a, b, *rest: seen.append(a.count()) or whole(a, b, *rest))
+    rows = [(i, j, -float(i - j)) for i in range(20) for j in range(20) if (i + j) % 3 == 0]
+    schema = "i bigint, j bigint, v double"
+    a = SparseMatrix(spark.createDataFrame(rows, schema), 20, 20)
+    assert profile.bit_exact(a, SparseMatrix(spark.createDataFrame(rows[::-1], schema), 20, 20))
+    assert len(seen) > 3 and sum(seen) == len(rows)
+    for changed in ([*rows[:-1], (rows[-1][0], rows[-1][1], 7.0)], [*rows, rows[-1]], rows[:-1], [*rows[:-1], (*rows[-1][:2], None)]):
+        assert not profile.bit_exact(a, SparseMatrix(spark.createDataFrame(changed, schema), 20, 20))
+
+
+def test_words_of_blocks_are_those_of_the_pattern(spark):
+    from lattix.solvers.backend import packed_rows
+
+    pairs = spark.createDataFrame([(i, (i * 37 + k * k) % 200) for i in range(50) for k in range(9)], "i bigint, j bigint")
+    made = topology.words_of_blocks(packed_rows(pairs, 50, 200, values=False), 200, 10, 40)
+    assert sorted(made.collect()) == sorted(topology.words(pairs.where("i >= 10 and i < 40")).collect())
