@@ -481,3 +481,31 @@ def ilu0_dense(block):
                 lu[i, k] /= lu[k, k]
                 lu[i, k + 1 :] -= np.where(kept[i, k + 1 :] & kept[k, k + 1 :], lu[i, k] * lu[k, k + 1 :], 0.0)
     return np.tril(lu, -1) + np.eye(len(lu)), np.triu(lu)
+
+
+def test_factors_go_level_by_level():
+    rng = np.random.default_rng(3)
+    for n, fill in ((1, 1.0), (60, 0.1), (60, 1.0), (40, 0.0)):
+        dense = np.where(rng.random((n, n)) < fill, rng.normal(size=(n, n)), 0.0)
+        dense = dense + dense.T + np.eye(n) * 10 * n
+        i, j = np.nonzero(np.tril(dense))
+        ptr, col, val = np.searchsorted(i, np.arange(n + 1)), j, dense[i, j].copy()
+        precond._incomplete_cholesky(ptr, col, val)
+        level = precond._levels(ptr, col)
+        assert (level[i[i > j]] > level[j[i > j]]).all() and level.max() < n
+        low, up = ilu0_dense(dense)
+        r = rng.normal(size=n)
+        assert np.allclose(low @ up @ precond._triangular(ptr, col, val, level, r, True), r)
+
+
+def test_packed_tables_are_stored_in_small_groups(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from lattix.plans.storage import materialize
+
+    rng = np.random.default_rng(0)
+    stored = materialize(spark.createDataFrame([(bytearray(rng.bytes(1 << 20)),) for _ in range(40)], "packed binary").coalesce(1))
+    groups = [f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, Path(stored._stored_at.removeprefix("file:")).glob("*.parquet")) for k in range(f.num_row_groups)]
+    assert sum(groups) == 40 and max(groups) <= 20
