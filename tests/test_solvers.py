@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from lattix.operators import algebra, layout, partition, profile
 from lattix.plans import admission
-from lattix.schema import DimensionMismatch, InvalidArgument, LattixError, MissingDiagonal, NumericalBreakdown, SparseMatrix, UnsupportedProblem
+from lattix.schema import DimensionMismatch, InvalidArgument, InvalidMatrix, LattixError, MissingDiagonal, NumericalBreakdown, SparseMatrix, UnsupportedProblem
 from lattix.solvers import coarse, contiguous, krylov, partitioners, precond, regions
-from lattix.solvers.backend import BlockedMatrix, LocalMatrix, to_array, to_vector
+from lattix.solvers.backend import BlockedMatrix, LocalMatrix, kron_identity, packed_rows, product_table, stored_entries, to_array, to_vector
 from lattix.solvers.options import CoarseOptions, Execution, GeneralOptions, GeneralPreconditioner, HybridOptions, ProblemClass, Restart, Selection, SolverOptions, Status
 from lattix.solvers.schur import Schur
 from lattix.solvers.system import Solver
 from lattix.sources import block_diagonal, chain, csr_to_matrix, grid7, poisson_1d
+from lattix.sources.generators import spd_surrogate
 
 
 @pytest.fixture(scope="module")
@@ -509,3 +510,116 @@ def test_packed_tables_are_stored_in_small_groups(spark):
     stored = materialize(spark.createDataFrame([(bytearray(rng.bytes(1 << 20)),) for _ in range(40)], "packed binary").coalesce(1))
     groups = [f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, Path(stored._stored_at.removeprefix("file:")).glob("*.parquet")) for k in range(f.num_row_groups)]
     assert sum(groups) == 40 and max(groups) <= 20
+
+
+@pytest.fixture(scope="module")
+def threefold(spark):
+    """Three rows for each node of a grid, kept as copies of packed blocks, and the same matrix entry by entry."""
+    a = grid7(spark, 5, 4, 3)
+    wide = Solver.stored(kron_identity(a, 3))
+    explicit = a.df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select((3 * F.col("i") + F.col("k")).alias("i"), (3 * F.col("j") + F.col("k")).alias("j"), "v")
+    coords = spark.createDataFrame([(n, float(n % 5), float(n // 5 % 4), float(n * n % 11)) for n in range(60)], "node bigint, x double, y double, z double")
+    return wide, SparseMatrix(explicit, 180, 180), coords
+
+
+def test_copies_stand_for_a_kronecker_product(spark, threefold):
+    wide, explicit, _ = threefold
+    assert (LocalMatrix.collect(wide).dense() == LocalMatrix.collect(explicit).dense()).all() and stored_entries(wide) == explicit.df.count()
+    assert (LocalMatrix.collect(kron_identity(wide, 2)).dense() == np.kron(LocalMatrix.collect(explicit).dense(), np.eye(2))).all()
+    x = np.random.default_rng(1).random(180)
+    y = LocalMatrix.collect(explicit)(x)
+    assert np.abs(BlockedMatrix(wide)(x) - y).max() < 1e-12 and np.abs(to_array(product_table(wide, x), 180) - y).max() < 1e-12
+    assert Solver.stored(wide) is wide
+    gaps = SparseMatrix(spark.createDataFrame([(0, 1, 2.0), (3, 0, 1.0), (3, 3, 4.0)], "i bigint, j bigint, v double"), 5, 5)
+    assert BlockedMatrix(gaps)(np.arange(5.0)).tolist() == [2.0, 0.0, 0.0, 12.0, 0.0]
+
+
+def test_blocks_tell_what_tables_tell(spark, threefold):
+    wide, explicit, _ = threefold
+    rows = [(0, 0, 2.0), (0, 2, -0.0), (1, 1, 1.5), (2, 2, 3.0), (2, 1, -1.0)]
+    odd = SparseMatrix(spark.createDataFrame(rows, "i bigint, j bigint, v double"), 3, 3)
+    for a, plain, even in ((wide, explicit, True), (kron_identity(odd, 1), odd, False), (kron_identity(odd, 3), LocalMatrix.collect(kron_identity(odd, 3)).to_df(spark), False)):
+        told, sign = profile.told_by_blocks(a), profile.signature(plain).first()
+        assert (told["structure"], told["values"], told["nnz"], told["positive"]) == (sign.structure, sign["values"], plain.df.count(), a.nrows)
+        assert told["mirrored"] is even and told["bad"] is None
+    for bad in ((1, 2, float("nan")), (1, 7, 1.0)):
+        a = SparseMatrix(spark.createDataFrame([*rows, bad], "i bigint, j bigint, v double"), 3, 3)
+        with pytest.raises(InvalidMatrix):
+            Solver().analyze(SparseMatrix(a.df, 3, 3, packed_rows(a.df, 3, 3)))
+    with pytest.raises(UnsupportedProblem):
+        a = SparseMatrix(odd.df.where("i < 2"), 3, 3)
+        Solver().analyze(SparseMatrix(a.df, 3, 3, packed_rows(a.df, 3, 3)))
+
+
+def test_rigid_modes_in_blocks_equal_those_in_tables(threefold):
+    wide, explicit, coords = threefold
+    r = np.random.default_rng(2).random(180)
+    for kind in ("graph", "contiguous"):
+        for balanced in (False, True):
+            there = precond.rigid_body(explicit, coords, 30, kind, balanced)
+            here = precond.rigid_body(wide, coords, 30, kind, balanced, arrays=True, mirrored=True)
+            assert isinstance(here, precond.RigidBody) and here.dimension == there.dimension > 6
+            assert np.abs(here.coarse - there.coarse).max() < 1e-10 and np.abs(here.solve(r) - there.solve(r)).max() < 1e-10
+    flat = coords.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)).withColumn("z", F.lit(0.0))
+    with pytest.raises(NumericalBreakdown):
+        precond.rigid_body(wide, flat, 30, "contiguous", arrays=True)
+    # a node without coordinates, or with two, goes by tables
+    assert coarse.node_coordinates(coords.where("node <> 5"), 60) is None and coarse.node_coordinates(coords.where("node <> 5").union(coords.where("node = 4")), 60) is None
+
+
+def test_structural_solve_makes_no_entries_of_the_wide_matrix(spark, threefold, monkeypatch):
+    """Neither the products nor the coarse matrix nor the graph join or exchange entries: at 434 million of them that had no end."""
+    wide, explicit, coords = threefold
+
+    def refuse(*_, **__):
+        raise AssertionError("entries are joined or exchanged")
+
+    for owner, name in ((algebra, "galerkin"), (coarse, "node_graph"), (precond, "block_jacobi"), (profile, "signature")):
+        monkeypatch.setattr(owner, name, refuse)
+    solver = Solver(SolverOptions(1e-10), execution=Execution.BLOCKS, hybrid=HybridOptions(coarse=CoarseOptions(target_dimension=30)))
+    x = np.random.default_rng(3).random(180)
+    got, report = solver.solve_structural(wide, coords, product_table(wide, x))
+    assert report.status == "converged" and report.preconditioner == "rigid_body_graph" and np.abs(to_array(got, 180) - x).max() < 1e-8
+
+
+def test_structural_solve_without_blocks_packs_once(spark, threefold):
+    _, explicit, coords = threefold
+    solver = Solver(SolverOptions(1e-10), execution=Execution.BLOCKS, hybrid=HybridOptions(coarse=CoarseOptions(target_dimension=30)))
+    x = np.random.default_rng(4).random(180)
+    system = solver.prepare_structural(explicit, coords)
+    got, report = system.solve(to_vector(spark, LocalMatrix.collect(explicit)(x)))
+    assert isinstance(system.base, precond.RigidBody) and report.status == "converged" and np.abs(to_array(got, 180) - x).max() < 1e-8
+    system.check(explicit)
+
+
+def test_node_rows_that_go_on_in_another_block(spark):
+    a = spd_surrogate(grid7(spark, 4, 4, 3))  # 48 rows, 16 nodes
+    packed = SparseMatrix(a.df, 48, 48, packed_rows(a.df, 48, 48, tasks=7))
+    near, want = coarse.NodeRows(packed, 3), coarse.adjacency(coarse.node_graph(a, 3), 16)
+    assert packed.blocks.count() == 7 and len(near) == 16
+    assert [near[k].tolist() for k in range(16)] == [want[k].tolist() for k in range(16)]
+    assert near.of(np.array([3, 0, 3])).tolist() == want.of(np.array([3, 0, 3])).tolist() == [*want[3], *want[0], *want[3]]
+
+
+def test_growth_by_queues_is_that_node_by_node():
+    """The order of a queue decides which nodes an aggregate of bounded size takes."""
+    rng = np.random.default_rng(5)
+    for n, edges, target in ((1, 0, 3), (40, 60, 5), (40, 400, 9), (60, 50, 4), (50, 200, 1)):
+        pairs = {(int(i), int(j)) for i, j in rng.integers(0, n, (edges, 2)) if i != j}
+        near = [np.array(sorted({j for i, j in pairs | {(j, i) for i, j in pairs} if i == k}), np.int64) for k in range(n)]
+        own = [-1] * n
+        for number, seed in enumerate(k for k in range(n) if own[k] < 0):
+            queue, size = [seed], 0
+            while queue and size < target:
+                node = queue.pop(0)
+                if own[node] < 0:
+                    own[node], size = number, size + 1
+                    queue += [int(j) for j in near[node] if own[j] < 0]
+        whole = coarse.grow_aggregates(near, target, 1)[0] if target < 8 else None  # below 8 none is small enough to merge
+        grown = np.full(n, -1)
+        for number, seed in enumerate(k for k in range(n) if grown[k] < 0):
+            grown[seed], front, size = number, np.array([seed]), 1
+            while len(front) and size < target:
+                front = coarse._grown(near, front, grown, number, target - size)
+                size += len(front)
+        assert grown.tolist() == own and (whole is None or whole.tolist() == own)
